@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, sharding
+from . import ngram_join, sharding, substring_dedup
 from .common import read
 
 
@@ -20,7 +20,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_earlier_passages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op6_stratified_shards": op6_stratified_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
