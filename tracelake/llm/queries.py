@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, sharding, substring_dedup
+from . import bpe, decontamination, ngram_join, sharding, substring_dedup
 from .common import read
 
 
@@ -28,8 +29,14 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_decode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_stratified_shards": op6_stratified_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
