@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, ngram_join, sharding, substring_dedup
+from . import bpe, decontamination, language_id, ngram_join, sharding, substring_dedup, toxicity
 from .common import read
 
 
@@ -34,9 +34,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs, folds=5, held=0))
+    return out.select("doc_id", F.coalesce(language_id.fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op4_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), folds=4, held=2))
+    return out.select("doc_id", F.coalesce(language_id.fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op7_ppm_language_id": op7_ppm_language_id,
+    "op4_nnpu_toxicity": op4_nnpu_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_stratified_shards": op6_stratified_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
