@@ -35,6 +35,8 @@ ENUMERATE_UP_TO = 3
 #: Buckets up to this size list all their pairs; larger ones are joined to their least member first
 #: and later compared in full between the components that this leaves.
 SMALL_BUCKET = 6
+#: Families of mixed buckets up to this size are compared where they meet; of larger ones the pairs go on to be joined with their texts.
+FAMILY_IN_MEMORY = 20_000
 MAX_SIZE = 1 << 31
 
 
@@ -354,45 +356,91 @@ def _links(pairs: DataFrame, sketched: DataFrame, bands: Bands, n: int) -> DataF
 
 
 def _cross_links(found: DataFrame, sketched: DataFrame, comp: DataFrame, bands: Bands, n: int) -> DataFrame | None:
-    """Links between different components within one large bucket; None where no bucket holds two."""
+    """Links between different components within one large bucket; None where no bucket holds two.
+
+    Near copies share many buckets, mostly with the same least member, so mixed buckets of one least
+    member are looked at together and each class once.
+    """
     label = comp.select(F.col("id").alias("x"), "component")
-    rows = found.where("sig <> 0").select("sig", "x").join(label, "x", "left").select("sig", F.col("x").alias("c"), F.coalesce("component", "x").alias("component"))
+    rows = found.where("sig <> 0").join(label, "x", "left").select("sig", F.col("y").alias("leader"), F.col("x").alias("c"), F.coalesce("component", "x").alias("component"))
     mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rows = cut(rows.join(mixed, "sig", "left_semi"))
+    rows = table(rows.join(mixed, "sig", "left_semi").select("leader", "c", "component").distinct(), "ngram-mixed")
     if rows.isEmpty():
         return None
-    rows = rows.join(sketched.select("c", "size", "sketch"), "c").select("sig", "c", "component", "size", "sketch")
+    rows = rows.join(sketched.dropDuplicates(["c"]), "c").select("leader", "c", "component", "size", "sketch", "text")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, c, component, size, sketch in _sorted_groups(batches):
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            for a, b in zip(first, np.append(first[1:], len(sig)), strict=True):
-                yield from _bucket_across(c[a:b], component[a:b], size[a:b], sketch[a:b], bands)
-
-    ordered = rows.repartition("sig").sortWithinPartitions("sig", "size")
-    pairs = ordered.mapInArrow(across, "x long, y long").distinct()
-    return cut(_verified(table(pairs, "ngram-across"), sketched.select("c", "text"), n, bands.t))
-
-
-def _bucket_across(c: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket, sorted by size, that differ in component and may be similar; compared in blocks, only survivors leave."""
-    sketches = [np.frombuffer(s, np.uint8) for s in sketch]
-    floor = size * float(bands.t) - 1e-6
-    for i in range(1, len(c)):
-        lo = int(np.searchsorted(size, floor[i]))
-        j = lo + np.flatnonzero(component[lo:i] != component[i])
-        if not len(j):
-            continue
-        keep = []
-        for width in {len(sketches[z]) for z in j}:  # at most two widths within the size range
-            z = j[[len(sketches[q]) == width for q in j]]
-            m = min(width, len(sketches[i]))
-            mine = _fold(sketches[i], m)
-            others = np.stack([_fold(sketches[q], m) for q in z])
-            apart = _BITS[others ^ mine].sum(axis=1)
-            most = ((size[z] + size[i]) * bands.t.denominator - (size[z] + size[i]) * bands.t.numerator) // (bands.t.denominator + bands.t.numerator)
-            keep.append(z[apart <= most])
-        z = np.concatenate(keep)
-        if len(z):
-            x, y = np.full(len(z), c[i]), c[z]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
+        for leader, c, component, size, sketch, text in _sorted_groups(batches):
+            first = np.flatnonzero(np.concatenate(([True], leader[1:] != leader[:-1])))
+            for a, b in zip(first, np.append(first[1:], len(leader)), strict=True):
+                family = _Family(c[a:b], component[a:b], size[a:b], sketch[a:b], bands)
+                if b - a <= FAMILY_IN_MEMORY:
+                    yield from _edges(family.links(text[a:b], n), True)
+                else:
+                    for some in family.candidates():
+                        yield from _edges(some, False)
+
+    ordered = rows.repartition("leader").sortWithinPartitions("leader", "size", "c")
+    edges = table(ordered.mapInArrow(across, "x long, y long, sure boolean").distinct(), "ngram-across")
+    return cut(edges.where("sure").select("x", "y").unionByName(_verified(edges.where("not sure"), sketched.select("c", "text"), n, bands.t)))
+
+
+def _edges(pairs: list[tuple[int, int]], sure: bool) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        x, y = zip(*pairs, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array([sure] * len(x))], names=["x", "y", "sure"])
+
+
+class _Family:
+    """Classes of mixed buckets with one least member, sorted by size."""
+
+    def __init__(self, c: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: Bands):
+        self.c, self.size, self.bands = c, size, bands
+        _, self.component = np.unique(component, return_inverse=True)
+        self.sketch = [np.frombuffer(s, np.uint8) for s in sketch]
+        self.width = np.array([len(s) for s in self.sketch])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _of_width(self, width: int) -> np.ndarray:
+        """Sketches folded to a width (those that are narrower are left zero)."""
+        if width not in self.folded:
+            self.folded[width] = np.stack([_fold(s, width) if len(s) >= width else np.zeros(width, np.uint8) for s in self.sketch])
+        return self.folded[width]
+
+    def near(self, i: int) -> np.ndarray:
+        """Smaller (or earlier) classes of other components that sizes and parities don't rule out, nearest first."""
+        t = self.bands.t
+        lo = int(np.searchsorted(self.size, self.size[i] * float(t) - 1e-6))
+        j = lo + np.flatnonzero(self.component[lo:i] != self.component[i])
+        found, apart = [], []
+        for width in np.unique(self.width[j]):
+            z = j[self.width[j] == width]
+            m = int(min(width, self.width[i]))
+            d = _BITS[self._of_width(m)[z] ^ _fold(self.sketch[i], m)].sum(axis=1)
+            most = (self.size[z] + self.size[i]) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+            found.append(z[d <= most])
+            apart.append(d[d <= most])
+        if not found:
+            return np.empty(0, np.int64)
+        return np.concatenate(found)[np.argsort(np.concatenate(apart), kind="stable")]
+
+    def candidates(self) -> Iterator[list[tuple[int, int]]]:
+        for i in range(1, len(self.c)):
+            yield [(int(self.c[i]), int(self.c[j])) for j in self.near(i)]
+
+    def links(self, text: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Links that join the family's components as far as they go; a pair already joined isn't compared."""
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = [s for w in tk.slices(pa.array([text[i]]), tk.SPACED_LOWER) for s in _sets(w, n)][0]
+            return sets[i]
+
+        t, out = self.bands.t, []
+        for i in range(1, len(self.c)):
+            for j in self.near(i).tolist():
+                if self.component[i] != self.component[j] and similar(of(i), of(j), t.numerator, t.denominator):
+                    out.append((int(self.c[i]), int(self.c[j])))
+                    self.component[self.component == self.component[j]] = self.component[i]
+        return out
