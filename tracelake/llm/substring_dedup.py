@@ -236,7 +236,9 @@ def _earlier(key: np.ndarray, texts: pa.ChunkedArray, window: int) -> list[tuple
     out: list[tuple[int, int, int]] = []
     automaton, shard = SuffixAutomaton(), None
     live = np.flatnonzero(again)
-    edges = np.flatnonzero(np.concatenate(([True], run[live][1:] != run[live][:-1]))) if len(live) else []
+    if not len(live):
+        return out
+    edges = np.flatnonzero(np.concatenate(([True], run[live][1:] != run[live][:-1])))
     for a, b in zip(edges, [*edges[1:], len(live)], strict=True):
         mine = live[a:b]
         i = int(run[mine[0]])
@@ -305,13 +307,16 @@ def remove_earlier_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col
         raise ValueError(f"a window has {ANCHOR} words at least")
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # renamed, not aliased: an alias would keep Spark from seeing that the exchanges are the same
+    every = docs.select(id_col, text_col).toDF("doc_id", "text") if (id_col, text_col) != ("doc_id", "text") else docs.select("doc_id", "text")
+    rows = every.where("doc_id is not null")
     # copies: all windows of a later copy start earlier in the first one, so only first copies go on
-    keyed = rows.where("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
+    keyed = rows.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
     first = keyed.groupBy("m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
     copies = keyed.join(first, "m").where("doc_id <> first").select("doc_id").distinct().withColumn("copy", F.lit(True))
+    # one exchange of the texts serves the anchors, the runs and the result
     base = rows.repartition(parts, "doc_id").join(copies, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-    fresh = base.where("not copy and doc_id is not null").select("doc_id", "text")
+    fresh = base.where("not copy").select("doc_id", "text")
 
     anchors = fresh.mapInArrow(lambda b: _anchor_rows(b, window), f"h long, doc_id {kind}, pos int")
     repeated = anchors.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, f"doc_id {kind}, pos int")
@@ -319,5 +324,7 @@ def remove_earlier_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col
     runs = fresh.join(places, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda b: _runs(b, window), f"key long, doc_id {kind}, start int, n int, words binary")
     marks = runs.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(lambda b: _marks(b, window), f"doc_id {kind}, start int, stop int")
     spans = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    judged = base.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "spans")
+    unnamed = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
     out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return base.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "spans").mapInArrow(lambda b: _masked(b, window, with_text), out)
+    return judged.unionByName(unnamed).mapInArrow(lambda b: _masked(b, window, with_text), out)
