@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, ngram_join, sharding, substring_dedup, toxicity
-from .common import read
+from . import bpe, decontamination, language_id, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
+from .common import fresh_path, read, table
 
 
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,30 @@ def op4_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language_id.fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
+def op2_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    # a page has the label of the document of the same number; it is to be blocked if toxic or of low quality
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    labelled = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("blocked")), "page_id")
+    return url_filter.judge(pages, url_filter.mine(labelled))
+
+
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    manifest = warc.write_archives(pages, fresh_path(spark, "warc"))
+    records = table(warc.read_archives(spark, manifest), "warc-records")
+    out = warc.resolve(records)
+    kind = pages.schema["page_id"].dataType
+    return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op7_ppm_language_id": op7_ppm_language_id,
     "op4_nnpu_toxicity": op4_nnpu_toxicity,
+    "op2_url_association_rules": op2_url_association_rules,
+    "op3_warc_salvage": op3_warc_salvage,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_stratified_shards": op6_stratified_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
