@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
+from . import bpe, decontamination, embedding_dedup, language_id, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
 from .common import fresh_path, read, table
 
 
@@ -63,6 +63,10 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nnpu_toxicity": op4_nnpu_toxicity,
     "op2_url_association_rules": op2_url_association_rules,
     "op3_warc_salvage": op3_warc_salvage,
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_stratified_shards": op6_stratified_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
