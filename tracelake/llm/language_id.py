@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .common import table
+
 U = np.uint64
 ORDER = 4
 #: At most so many labelled documents of each language are learned from (those of least id hash; whole texts).
-SAMPLE_PER_LANGUAGE = 1_500
+SAMPLE_PER_LANGUAGE = 1_000
 #: At most so many languages (the most frequent ones).
 LANGUAGES = 200
 SLICE_BYTES = 1 << 19
@@ -165,7 +167,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learn from rows with text and language whose id isn't in the held-out fold (null ids never are used)."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= sample).select("id").distinct()
+    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= sample)
+    picked = table(picked.select("id").distinct(), "language-sample")
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(picked, "id", "left_semi")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +179,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 gram, n = np.unique(_grams([t for t, x in zip(texts, lang, strict=True) if x == name])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    table = rows.select("lang", "text").mapInArrow(counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = table.column("lang").combine_chunks().dictionary_encode() if len(table) else pa.array([], pa.string()).dictionary_encode()
+    counted = rows.select("lang", "text").mapInArrow(counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = counted.column("lang").combine_chunks().dictionary_encode() if len(counted) else pa.array([], pa.string()).dictionary_encode()
     if isinstance(names, pa.ChunkedArray):
         names = names.combine_chunks()
-    n = table.column("n").to_numpy().astype(np.int64)
-    gram = table.column("gram").to_numpy().astype(np.int64).view(U)
+    n = counted.column("n").to_numpy().astype(np.int64)
+    gram = counted.column("gram").to_numpy().astype(np.int64).view(U)
     codes = names.indices.to_numpy().astype(np.int64)
     words = names.dictionary.to_pylist()
     size = np.bincount(codes, weights=n, minlength=len(words)) if len(words) else np.zeros(0)
@@ -192,6 +195,21 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return Model.from_counts([words[i] for i in kept], place[codes[use]], gram[use], n[use])
 
 
+def _judge(column: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, bits per byte) of each text."""
+    texts = column.to_pylist()
+    letter = regex.compile(r"\p{L}").search
+    named = np.array([bool(t and m.languages and letter(t)) for t in texts], bool)
+    if not m.languages:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    raw = [_bytes(t) if ok else b"" for t, ok in zip(texts, named, strict=True)]
+    bits = m.code_lengths(raw)
+    best, least = bits.argmin(axis=1), bits.min(axis=1)
+    score = 1 / np.exp2(least[:, None] - bits).sum(axis=1)
+    rate = least / np.maximum(1, [len(t) for t in raw])
+    return [m.languages[b] if ok else "und" for b, ok in zip(best, named, strict=True)], np.where(named, score, 0.0), np.where(named, rate, 0.0)
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, lang_pred, score, bits_per_byte``.
 
@@ -204,23 +222,24 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        letter = regex.compile(r"\p{L}").search
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                named = np.array([bool(t and m.languages and letter(t)) for t in texts], bool)
-                raw = [_bytes(t) if ok else b"" for t, ok in zip(texts, named, strict=True)]
-                if m.languages:
-                    bits = m.code_lengths(raw)
-                    best = bits.argmin(axis=1)
-                    least = bits.min(axis=1)
-                    score = 1 / np.exp2(least[:, None] - bits).sum(axis=1)
-                    rate = least / np.maximum(1, [len(t) for t in raw])
-                    lang = [m.languages[b] if ok else "und" for b, ok in zip(best, named, strict=True)]
-                else:
-                    score, rate, lang = np.zeros(len(texts)), np.zeros(len(texts)), ["und"] * len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(np.where(named, score, 0.0)), pa.array(np.where(named, rate, 0.0))], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                lang, score, rate = _judge(part.column(1), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language :func:`predict` names (not ``und``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array([x != "und" for x in _judge(part.column(place), shared.value)[0]]))
+
+    return docs.mapInArrow(run, docs.schema)

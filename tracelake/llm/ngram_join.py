@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, table
+from .common import cut, release, table
 from .components import connected_components
 
 U = np.uint64
@@ -303,11 +303,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = _signed(docs, text_col, n, bands).repartition(parts, "sig").sortWithinPartitions("sig", "c")
     found = table(buckets.mapInArrow(_bucket_pairs, "x long, y long, sig long"), "ngram-pairs")
+    del buckets
+    release(spark)
 
     pairs = found.where("x <> y").select("x", "y").distinct()
     sketched = _class_sketches(docs, found, classes, id_col, text_col, n)
-    links = _links(pairs, sketched, bands, n)
-    edges = cut(links)
+    release(spark)
+    edges = cut(_links(pairs, sketched, bands, n))
     comp = cut(connected_components(edges, "x", "y"))
     # large buckets that still hold several components: compare across them
     more = _cross_links(found, sketched, comp, bands, n)

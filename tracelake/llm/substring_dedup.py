@@ -263,10 +263,10 @@ def _earlier(key: np.ndarray, texts: pa.ChunkedArray, window: int) -> list[tuple
 
 
 def _masked(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Digest of each text without its marked words, from (doc_id, text, copy, spans)."""
+    """Digest of each text without its marked words, from (doc_id, text, copy, spans, carried columns)."""
     for batch in batches:
         raw = batch.column(1).cast(pa.large_binary())
-        n_words, n_removed, digest, kept_text = [], [], [], []
+        n_words, n_removed, digest, left = [], [], [], []
         for text, copy, spans in zip(raw, batch.column(2).to_pylist(), batch.column(3), strict=True):
             words = (text.as_py() or b"").split()
             n = len(words)
@@ -284,38 +284,46 @@ def _masked(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
             n_removed.append(n - len(kept))
             digest.append(hashlib.sha256(joined).hexdigest())
             if with_text:
-                kept_text.append(joined.decode() if len(kept) < n else None)
+                left.append(joined.decode() if len(kept) < n else text.as_py().decode() if text.is_valid else None)
         columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         if with_text:
-            columns.append(pa.array(kept_text, pa.string()))
-            names.append("kept_text")
+            columns.append(pa.array(left, pa.string()))
+            names.append("text")
+        columns += batch.columns[4:]
+        names += batch.schema.names[4:]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def remove_earlier_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``, null where nothing goes).
+def remove_earlier_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id, n_words, n_removed, kept_sha256``.
+
+    ``with_text`` adds ``text``: the kept words joined by one space where some go, else the text as it is.
+    ``carry`` names other columns to pass through; they come back as ``c0, c1, ...`` in that order.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes if some window of ``window`` consecutive
     words over it starts earlier too: in a document of smaller id, or earlier in its own. Windows are
     those of the input. Null and empty texts have no words; texts shorter than the window lose none;
     rows that repeat an id are the same document and don't count as earlier; rows of null id are
-    neither judged nor a reference. An empty table gives an empty result; other columns are ignored.
+    neither judged nor a reference. An empty table gives an empty result; columns that aren't carried are ignored.
     """
     spark = docs.sparkSession
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words at least")
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # renamed, not aliased: an alias would keep Spark from seeing that the exchanges are the same
-    every = docs.select(id_col, text_col).toDF("doc_id", "text") if (id_col, text_col) != ("doc_id", "text") else docs.select("doc_id", "text")
+    # renamed as a whole: an alias would keep Spark from seeing that the exchanges are the same
+    extra = [f"c{i}" for i in range(len(carry))]
+    every = docs.select(id_col, text_col, *carry)
+    if every.columns != ["doc_id", "text", *extra]:
+        every = every.toDF("doc_id", "text", *extra)
     rows = every.where("doc_id is not null")
     # copies: all windows of a later copy start earlier in the first one, so only first copies go on
     keyed = rows.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
     first = keyed.groupBy("m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
     copies = keyed.join(first, "m").where("doc_id <> first").select("doc_id").distinct().withColumn("copy", F.lit(True))
     # one exchange of the texts serves the anchors, the runs and the result
-    base = rows.repartition(parts, "doc_id").join(copies, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    base = rows.repartition(parts, "doc_id").join(copies, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *extra)
     fresh = base.where("not copy").select("doc_id", "text")
 
     anchors = fresh.mapInArrow(lambda b: _anchor_rows(b, window), f"h long, doc_id {kind}, pos int")
@@ -324,7 +332,7 @@ def remove_earlier_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col
     runs = fresh.join(places, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda b: _runs(b, window), f"key long, doc_id {kind}, start int, n int, words binary")
     marks = runs.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(lambda b: _marks(b, window), f"doc_id {kind}, start int, stop int")
     spans = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    judged = base.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "spans")
-    unnamed = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
-    out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    judged = base.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "spans", *extra)
+    unnamed = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"), *extra)
+    out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {c} {every.schema[c].dataType.simpleString()}" for c in extra)
     return judged.unionByName(unnamed).mapInArrow(lambda b: _masked(b, window, with_text), out)
