@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RUN = Window.partitionBy("trace_id")
+def _run():
+    return Window.partitionBy("trace_id")
 
 
 def chunks(runs: DataFrame, size: int) -> DataFrame:
@@ -16,21 +17,21 @@ def chunks(runs: DataFrame, size: int) -> DataFrame:
 
 def segments(runs: DataFrame, start: str, excluded: str) -> DataFrame:
     """A segment starts at each event where ``start`` holds; one with an ``excluded`` event is left out whole."""
-    rows = runs.withColumn("segment", F.sum(F.when(F.expr(start), 1).otherwise(0)).over(_RUN.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    rows = runs.withColumn("segment", F.sum(F.when(F.expr(start), 1).otherwise(0)).over(_run().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     bad = F.bool_or(F.expr(excluded)).over(Window.partitionBy("trace_id", "segment"))
     return rows.withColumn("bad", bad).where("not bad").groupBy("trace_id", "segment").agg(F.count("*").alias("n"))
 
 
 def size_budget(runs: DataFrame, size: str, cap: int) -> DataFrame:
     """Events until the running size would pass the cap, renumbered."""
-    total = F.sum(F.expr(size)).over(_RUN.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(F.expr(size)).over(_run().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     kept = runs.withColumn("running", total.cast("long")).where(F.col("running") <= cap)
-    return kept.select("trace_id", "event_id", "running", (F.row_number().over(_RUN.orderBy("pos")) - 1).alias("step_index"))
+    return kept.select("trace_id", "event_id", "running", (F.row_number().over(_run().orderBy("pos")) - 1).alias("step_index"))
 
 
 def head_tail(runs: DataFrame, k: int = 7) -> DataFrame:
     """The first and last k events of runs of more than 2k."""
-    n = F.count("*").over(_RUN)
+    n = F.count("*").over(_run())
     rows = runs.select("trace_id", "event_id", "pos", n.alias("n"))
     return rows.where((F.col("n") <= 2 * k) | (F.col("pos") < k) | (F.col("pos") >= F.col("n") - k))
 
@@ -43,7 +44,7 @@ def occurrences(runs: DataFrame) -> DataFrame:
 
 def last_emitted(runs: DataFrame, kind: str = "tool.call") -> DataFrame:
     """The most recent event of a kind before each event."""
-    w = _RUN.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    w = _run().orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return runs.select("trace_id", "event_id", F.last(F.when(F.col("event_type") == kind, F.col("event_id")), ignorenulls=True).over(w).alias("parent_id"))
 
 
@@ -51,7 +52,7 @@ def around(runs: DataFrame, marked: DataFrame, k: int) -> DataFrame:
     """Events within k steps of a marked position of their run, by a windowed search instead of a range join."""
     marks = marked.select("trace_id", "pos").distinct()
     rows = runs.join(marks.withColumn("mark", F.col("pos")), ["trace_id", "pos"], "left")
-    w = _RUN.orderBy("pos").rangeBetween(-k, k)
+    w = _run().orderBy("pos").rangeBetween(-k, k)
     return rows.withColumn("near", F.count("mark").over(w)).where("near > 0").select("trace_id", "event_id", "near")
 
 
