@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontamination, embedding_dedup, language_id, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
 from .common import fresh_path, read, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
