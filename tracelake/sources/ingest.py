@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 _TEXT = "coalesce(try_variant_get(m, '$.content', 'string'), try_variant_get(m, '$.value', 'string'), '')"
 
 
+def _strip(x):
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def lines(text: DataFrame) -> DataFrame:
     """Of a text column ``value``: parsed payloads, and lines that aren't JSON kept with an error flag; blank lines go."""
     return text.where("trim(value) <> ''").select("value", F.expr("try_parse_json(value)").alias("payload")).withColumn("malformed", F.col("payload").isNull())
@@ -40,8 +44,8 @@ def conversations(payloads: DataFrame) -> DataFrame:
     rows = _events(payloads, "conversations").select("trace_id", "pos", role.alias("role"), F.expr(_TEXT).alias("text")).where("role <> 'system'")
     agent = F.col("role").isin("assistant", "gpt", "agent")
     split = F.split("text", "Action:", 2)
-    thought = F.when(agent & (F.trim(split[0]) != ""), F.struct(F.lit("plan").alias("event_type"), F.trim(F.regexp_replace(split[0], "^\\s*Thought:", "")).alias("output")))
-    action = F.when(agent & (F.size(split) > 1), F.struct(F.lit("tool.call").alias("event_type"), F.trim(F.get(split, F.lit(1))).alias("output")))
+    thought = F.when(agent & (_strip(split[0]) != ""), F.struct(F.lit("plan").alias("event_type"), _strip(F.regexp_replace(split[0], "^\\s*Thought:", "")).alias("output")))
+    action = F.when(agent & (F.size(split) > 1), F.struct(F.lit("tool.call").alias("event_type"), _strip(F.get(split, F.lit(1))).alias("output")))
     seen = F.when(~agent, F.struct(F.lit("observation").alias("event_type"), F.col("text").alias("output")))
     parts = rows.select("trace_id", "pos", F.posexplode(F.array_compact(F.array(thought, action, seen))).alias("part", "e"))
     step = F.row_number().over(Window.partitionBy("trace_id").orderBy("pos", "part")) - 1
