@@ -10,6 +10,7 @@ corrected by the share of positives among them, and where a step finds that corr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import table
 from .language_id import fold
 
 U = np.uint64
@@ -53,21 +55,34 @@ class Rows:
         lists = [x[use[x]] for x in lists]
         size = np.array([len(x) for x in lists], np.int64)
         self.n = len(lists)
-        self.row = np.repeat(np.arange(self.n), size)
-        self.col = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        self.value = (1 / np.sqrt(np.maximum(size, 1)))[self.row]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        self.col = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
+        self.scale = 1 / np.sqrt(np.maximum(size, 1))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.col] * self.value, self.n)
+        return np.bincount(self.row, weights[self.col], self.n) * self.scale
 
     def grad(self, per_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, per_row[self.row] * self.value, 1 << BITS)
+        return np.bincount(self.col, (per_row * self.scale)[self.row], 1 << BITS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Model:
+    """Weights (NaN: a feature not known), bias and calibration; bounded by the number of features and the sample."""
+
+    weights: np.ndarray
+    bias: float
+    knots: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def constant(cls, value: float) -> Model:
+        return cls(np.full(1 << BITS, np.nan), 0.0, (np.zeros(1), np.full(1, value)))
+
+
 def train(positive: Rows, unlabelled: Rows, prior: float, *, seed: int, steps: int = 160, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss, by Adam."""
     rng = np.random.default_rng(seed)
@@ -94,26 +109,36 @@ def train(positive: Rows, unlabelled: Rows, prior: float, *, seed: int, steps: i
     return w, b
 
 
-def calibrate(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and offset that minimise the positive-unlabelled logistic risk of scores.
+def calibrate(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the posterior p P(f) / U(f) as a rising function of the score f.
 
-    With logistic loss that risk is E_U[log(1 + e^z)] - p E_P[z] + const for z = a f + b: convex, so
-    Newton steps find its least. ``fp`` and ``fu`` come from classifiers that didn't see those texts.
+    The ratio of the two densities, with the rise enforced by pooling neighbours that break it: each
+    confirmed text brings prior / n of toxic mass, each unlabelled one 1 / n of all mass. ``fp`` and
+    ``fu`` come from classifiers that didn't see those texts.
     """
-    x_p, x_u = np.stack([fp, np.ones(len(fp))]), np.stack([fu, np.ones(len(fu))])
-    theta = np.array([1.0, 0.0])
-    for _ in range(50):
-        s = _sigmoid(theta @ x_u)
-        g = x_u @ s / len(fu) - prior * x_p.mean(axis=1) + 1e-4 * (theta - [1, 0])
-        hessian = (x_u * (s * (1 - s))) @ x_u.T / len(fu) + np.diag([1e-4, 1e-4])
-        step = np.linalg.solve(hessian, g)
-        theta -= step / max(1.0, np.abs(step).max())
-    return float(max(theta[0], 1e-3)), float(theta[1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held: int = 2, sample_positive: int = SAMPLE_POSITIVE, sample_unlabelled: int = SAMPLE_UNLABELLED) -> tuple[np.ndarray, float]:
-    """(weights, bias): the mean of a few classifiers, each trained without a part of the sample and calibrated
-    on those parts; nothing confirmed: zeros and a low bias.
+    f = np.concatenate([fp, fu])
+    order = np.argsort(f, kind="stable")
+    toxic = np.concatenate([np.full(len(fp), prior / len(fp)), np.zeros(len(fu))])[order]
+    mass = np.concatenate([np.zeros(len(fp)), np.full(len(fu), 1 / len(fu))])[order]
+    blocks: list[list[float]] = []  # toxic mass, mass, sum of scores, texts
+    for t, m, x in zip(toxic, mass, f[order], strict=True):
+        blocks.append([t, m, x, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+    x = np.array([b[2] / b[3] for b in blocks])
+    y = np.array([min(1.0, b[0] / b[1]) if b[1] else 1.0 for b in blocks])
+    return x, y
+
+
+def posterior(f: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Scores in (0, 1), rising in f also where the knots are level or at an end."""
+    return 0.98 * np.interp(f, *knots) + 0.02 * _sigmoid(f)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held: int = 2, sample_positive: int = SAMPLE_POSITIVE, sample_unlabelled: int = SAMPLE_UNLABELLED) -> Model:
+    """The mean of a few classifiers, each trained without a part of the sample and calibrated on those parts;
+    nothing confirmed: one low score for all (or high, where all labels are toxic).
 
     Labels of the held-out fold are not read. The prior is the share of positives among the labels
     read, and the unlabelled texts come from all documents outside the held-out fold.
@@ -123,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.where(outside & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("toxic"))
     n, positives = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not n or not positives or positives == n:
-        return np.zeros(1 << BITS), -4.0 if not positives else 4.0
+        return Model.constant(0.98 if positives else 0.02)
     prior = positives / n
     least = lambda df, most: df.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.where(outside & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -138,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), batch.column(2).slice(w.first, w.n_docs), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))], names=["id", "kind", "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = texts.join(confirmed.unionByName(other), "id").select("id", "text", "kind").mapInArrow(lists, f"id {kind}, kind int, features array<int>").toArrow()
+    got = texts.join(table(confirmed.unionByName(other), "toxicity-sample"), "id").select("id", "text", "kind").mapInArrow(lists, f"id {kind}, kind int, features array<int>").toArrow()
     order = got.select(["kind", "id"]).to_pandas().sort_values(["kind", "id"], kind="stable").index.to_numpy()  # runs and partitions don't matter
     got = got.take(order).combine_chunks()
     which = got.column("kind").to_numpy()
@@ -146,18 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     p, u = [rows[i] for i in np.flatnonzero(which == 1)], [rows[i] for i in np.flatnonzero(which == 0)]
     use = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= LEAST_TEXTS if rows else np.zeros(1 << BITS, bool)
     if len(p) < MEMBERS or len(u) < MEMBERS:
-        return np.zeros(1 << BITS), -4.0
+        return Model.constant(0.02)
     w, b, fp, fu = np.zeros(1 << BITS), 0.0, [], []
     for k in range(MEMBERS):
         wk, bk = train(Rows([x for i, x in enumerate(p) if i % MEMBERS != k], use), Rows([x for i, x in enumerate(u) if i % MEMBERS != k], use), prior, seed=k)
         fp.append(Rows(p[k::MEMBERS], use).dot(wk) + bk)
         fu.append(Rows(u[k::MEMBERS], use).dot(wk) + bk)
         w, b = w + wk / MEMBERS, b + bk / MEMBERS
-    slope, offset = calibrate(np.concatenate(fp), np.concatenate(fu), prior)
-    return np.where(use, w * slope, np.nan), b * slope + offset
+    return Model(np.where(use, w, np.nan), b, calibrate(np.concatenate(fp), np.concatenate(fu), prior))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per input row: ``doc_id, score, predicted``.
 
     The whole text counts. Null, empty and wordless texts get the score of no known feature; repeated
@@ -167,16 +191,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        known = ~np.isnan(weights)
-        weights = np.nan_to_num(weights)
+        m: Model = shared.value
+        known = ~np.isnan(m.weights)
+        weights = np.nan_to_num(m.weights)
         for batch in batches:
             for w in tk.slices(batch.column(1), tk.ALNUM_LOWER):
                 doc, feature = features(w)
                 ok = known[feature]
                 size = np.bincount(doc[ok], minlength=w.n_docs)
                 total = np.bincount(doc[ok], weights[feature[ok]], w.n_docs) / np.sqrt(np.maximum(size, 1))
-                s = _sigmoid(total + bias)
+                s = posterior(total + m.bias, m.knots)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
