@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     scanned = table(scanned.withColumnRenamed("id", "doc_id"), "benchmark-hits")
 
     theirs = prints.select("h", F.col("id").alias("item_id"), F.col("size").alias("isize"), F.col("words").alias("iwords"), F.col("lead").alias("ilead"))
-    met = scanned.where("h is not null and doc_id is not null").select("doc_id", "h", "at", "size", "words", "lead").distinct().join(theirs, "h").where("size = isize")
+    met = scanned.where("h is not null and doc_id is not null").select("doc_id", "h", "at", "size", "words", "lead").join(theirs, "h").where("size = isize")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +159,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             ok = pa.array(ok, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(ok), batch.column("item_id").take(ok), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "item_id", "start", "stop"])
 
-    hits = table(met.mapInArrow(extend, f"doc_id {kind}, item_id {item_kind}, start int, stop int").distinct(), "benchmark-runs")
-    per_item = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"), F.count("*").alias("n_items"))
-    spans = hits.select("doc_id", "start", "stop").distinct()
-    per_word = spans.select("doc_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    found = per_item.join(per_word, "doc_id")
+    hits = met.mapInArrow(extend, f"doc_id {kind}, item_id {item_kind}, start int, stop int")
+    # one exchange by document: its items and its runs, each once; both are bounded by the document's own words and hits
+    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"), F.collect_set(F.struct("start", "stop")).alias("runs"))
+    places = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["stop"] - 1)))
+    found = by_doc.select("doc_id", F.array_join(F.array_sort("ids"), ",").alias("ids"), F.size("ids").cast("long").alias("n_items"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
     base = scanned.where("h is null").select("doc_id", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return base.join(found, "doc_id", "left").select(
