@@ -84,6 +84,31 @@ def best_reference(diffs: DataFrame) -> DataFrame:
     return diffs.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def longest_prefix_references(runs: DataFrame, flag: DataFrame) -> DataFrame:
+    """Per failed run of ``flag`` (trace_id, failed), the reference among all its passing runs: failed, reference, aligned, divergence_step.
+
+    The longest common action prefix decides, then the least id. Runs meet by their prefixes, not in pairs: a
+    prefix is known by its length and the sums of two 64-bit halves of its (place, action) digests, and has
+    one reference, the least passing id that begins with it. A failed run without actions has the least
+    passing id and no step; without passing runs there are no rows.
+    """
+    a = actions(runs)
+    digest = F.md5(F.concat_ws(":", F.col("ord").cast("string"), "action"))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")
+    w = Window.partitionBy("trace_id").orderBy("ord")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    halves = a.withColumns({"first": half(1), "second": half(17)})
+    prefixes = halves.select("trace_id", (F.col("ord") + 1).alias("length"), "pos", F.lead("pos").over(w).alias("next"), F.sum("first").over(upto).alias("first"), F.sum("second").over(upto).alias("second")).join(flag, "trace_id")
+    key = ["length", "first", "second"]
+    known = prefixes.where("not failed").groupBy(*key).agg(F.min("trace_id").alias("reference"))
+    met = prefixes.where("failed").join(known, key, "left")
+    best = met.groupBy("trace_id").agg(F.max(F.when(F.col("reference").isNotNull(), F.struct("length", "reference", "next"))).alias("best"), F.min("pos").alias("start"))
+    least = flag.where("not failed").agg(F.min("trace_id").alias("least")).where("least is not null")
+    out = flag.where("failed").select("trace_id").join(best, "trace_id", "left").crossJoin(F.broadcast(least))  # one row
+    step = F.when(F.col("best").isNull(), F.col("start")).otherwise(F.col("best.next"))
+    return out.select(F.col("trace_id").alias("failed"), F.coalesce("best.reference", "least").alias("reference"), F.coalesce("best.length", F.lit(0)).alias("aligned"), step.alias("divergence_step"))
+
+
 def counterfactual_candidates(runs: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     """Events to try first: findings' events, then error events, then the tail from the end; each once, k a run."""
     a = found.select("trace_id", "event_id", F.lit(0).alias("tier"), F.col("pos").alias("at"))

@@ -134,7 +134,7 @@ query("attribute_noisy_or", HYP_SQL + " SELECT trace_id, event_id, round(1 - pro
 
 
 def _reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each failed run against the five passing runs of least id."""
+    """Each failed run against the five passing runs of least id, as DIFF_SQL has it; attribute_best_reference_all searches all passing runs."""
     flag = detect.failed_runs(_runs(spark, sf_dir))
     passing = flag.where("not failed").orderBy("trace_id").limit(5)
     return flag.where("failed").select(F.col("trace_id").alias("failed")).crossJoin(F.broadcast(passing.select(F.col("trace_id").alias("reference"))))  # five rows
@@ -147,6 +147,15 @@ b AS (SELECT p.failed, p.reference, l.ord, l.pos, (r.action IS NULL OR r.action
 diffs AS (SELECT failed, reference, cast(coalesce(min(ord) FILTER (apart), count(*)) AS int) AS aligned, min(pos) FILTER (apart) AS divergence_step FROM b GROUP BY ALL)"""
 query("attribute_prefix_divergence", DIFF_SQL + " SELECT * FROM diffs")(lambda s, d: attribute.diff_against(_runs(s, d), _reference_pairs(s, d)).select("failed", "reference", "aligned", "divergence_step"))
 query("attribute_best_reference", DIFF_SQL + " SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY failed ORDER BY aligned DESC, reference) = 1")(lambda s, d: attribute.best_reference(attribute.diff_against(_runs(s, d), _reference_pairs(s, d))).select("failed", "reference", "aligned", "divergence_step"))
+# the whole search: every passing run is a candidate, and a failed run without tool calls has a row too
+query(
+    "attribute_best_reference_all",
+    f"""WITH {EVT_SQL}, {FAILED_SQL}, act AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS ord, pos, concat_ws(':', agent_name, payload) AS action FROM evt WHERE event_type='tool.call'),
+prs AS (SELECT f.trace_id AS failed, r.trace_id AS reference FROM failed f, failed r WHERE f.failed AND NOT r.failed),
+b AS (SELECT p.failed, p.reference, l.ord, l.pos, l.ord IS NOT NULL AND (r.action IS NULL OR r.action <> l.action) AS apart FROM prs p LEFT JOIN act l ON l.trace_id = p.failed LEFT JOIN act r ON r.trace_id = p.reference AND r.ord = l.ord),
+diffs AS (SELECT failed, reference, cast(coalesce(min(ord) FILTER (apart), count(ord)) AS int) AS aligned, min(pos) FILTER (apart) AS divergence_step FROM b GROUP BY failed, reference)
+SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY failed ORDER BY aligned DESC, reference) = 1""",
+)(lambda s, d: attribute.longest_prefix_references(_runs(s, d), detect.failed_runs(_runs(s, d)).select("trace_id", "failed")))
 query(
     "attribute_counterfactual_candidates",
     W_FOUND + ", c AS (SELECT trace_id, event_id, min(struct_pack(tier := tier, place := place)) AS o FROM (SELECT trace_id, event_id, 0 AS tier, pos AS place FROM found UNION ALL SELECT trace_id, event_id, 1, pos FROM evt WHERE error <> '' UNION ALL SELECT trace_id, event_id, 2, -pos FROM evt) GROUP BY ALL) SELECT trace_id, event_id, o.tier AS tier, cast(row_number() OVER (PARTITION BY trace_id ORDER BY o, event_id) AS int) AS rank FROM c QUALIFY rank <= 5",
