@@ -113,13 +113,15 @@ query(
 )(lambda s, d: attribute.spectrum_top(_runs(s, d)).withColumn("score", F.round("score", 9)))
 
 
-def _hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two methods' ranked findings per run."""
+def _hypotheses(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Two methods' ranked findings per run. whole: all of them, ranked from 0 as in the reference, so that the
+    first of n has n Borda points and the last 1; otherwise the first four a method, ranked from 1, as attribute_borda's SQL has it."""
     found = _found(spark, sf_dir)
     out = []
     for method, weight, order in (("early", 1.0, [F.col("pos")]), ("sure", 0.5, [F.desc("confidence")])):
         w = Window.partitionBy("trace_id")
-        ranked = found.withColumn("rank", F.row_number().over(w.orderBy(*order, "phase", "event_id", "mode_id"))).withColumn("n", F.count("*").over(w)).where("rank <= 4")
+        ranked = found.withColumn("rank", F.row_number().over(w.orderBy(*order, "phase", "event_id", "mode_id"))).withColumn("n", F.count("*").over(w))
+        ranked = ranked.withColumn("rank", F.col("rank") - 1) if whole else ranked.where("rank <= 4")
         out.append(ranked.select("trace_id", "event_id", F.lit(method).alias("method"), "rank", "n", F.lit(weight).alias("weight"), "confidence"))
     return out[0].unionByName(out[1])
 
@@ -131,6 +133,14 @@ query("attribute_borda", HYP_SQL + ", b AS (SELECT trace_id, event_id, sum((n-ra
     lambda s, d: attribute.borda(_hypotheses(s, d)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
 )
 query("attribute_noisy_or", HYP_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(lambda s, d: attribute.noisy_or(_hypotheses(s, d)).withColumn("confidence", F.round("confidence", 6)))
+# the same fusion of every finding; the two above keep four a run and method
+ALL_SQL = W_FOUND + ", early AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos, phase, event_id, mode_id) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM found), sure AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, phase, event_id, mode_id) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM found), hyp AS (SELECT trace_id, event_id, n - r + 1 AS place, 1.0::DOUBLE AS weight, confidence FROM early UNION ALL SELECT trace_id, event_id, n - r + 1, 0.5::DOUBLE, confidence FROM sure)"
+query("attribute_borda_all", ALL_SQL + " SELECT trace_id, event_id, round(sum(place*weight),6) AS points, round(least(1, sum(weight*confidence)/sum(weight)),6) AS confidence FROM hyp GROUP BY ALL")(
+    lambda s, d: attribute.borda(_hypotheses(s, d, whole=True)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
+)
+query("attribute_noisy_or_all", ALL_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(
+    lambda s, d: attribute.noisy_or(_hypotheses(s, d, whole=True)).withColumn("confidence", F.round("confidence", 6))
+)
 
 
 def _reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
