@@ -1,14 +1,14 @@
 """URL filtering: fixed host/path rules first, mined association rules for the rest. DataFrame operations only.
 
-FP-growth finds token combinations that come with a block label; rules above a support and a
-confidence are indexed under their rarest token, so that a URL meets only rules that share it.
+Token combinations that come with a block label are grown level by level over all tokens; rules above
+a support and a confidence are indexed under their rarest token, so that a URL meets only rules that share it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -16,12 +16,10 @@ from pyspark.sql.column import Column
 from .common import table
 
 BLOCK = "=block"
-#: A labelled URL takes part in mining with at most so many distinct tokens (host, path, then query
-#: order): frequent sets of one URL number 2 to this power. Matching looks at all tokens.
-MINED_TOKENS = 14
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-#: A rule must hold for so many labelled URLs, however few there are in all.
+#: A rule must hold for so many blocked URLs, however few there are in all: the support asked for is
+#: ``max(MIN_SUPPORT, LEAST_ROWS / n)``, and below so many labelled URLs there are no rules.
 LEAST_ROWS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,21 +59,64 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host_of(url), "[.:@]", "h:"), words(path_of(url), "[/._\\-~+%,;]", "p:"), words(query, "[&;=]", "q:")))
 
 
+def _baskets(known: DataFrame, need: int) -> DataFrame:
+    """Distinct sets of frequent tokens, ``basket, tokens, n, blocked``: a token not in ``need`` blocked URLs is in no rule."""
+    sets = table(known.groupBy(tokens_of(F.col("url")).alias("tokens")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")), "url-sets")
+    frequent = sets.select("n", "blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("blocked").alias("b")).where(F.col("b") >= need).select("token")
+    # equal sets of frequent tokens become one; the array is sorted, so that sets of tokens are grown in one order only
+    kept = sets.select(F.xxhash64("tokens").alias("at"), "tokens", "n", "blocked").withColumn("token", F.explode("tokens")).join(frequent, "token")
+    kept = kept.groupBy("at", "tokens", "n", "blocked").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    merged = kept.groupBy(F.col("kept").alias("tokens")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    return table(merged.select(F.sha2(F.concat_ws("\n", "tokens"), 256).alias("basket"), "tokens", "n", "blocked"), "url-baskets")
+
+
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Rules ``(tokens, key, confidence, support, lift)`` that imply a block, from ``(url, blocked boolean)``.
 
+    All tokens of all URLs take part, and sets of any length. Of the sets that are in the same URLs only
+    the least ones (no token can go without the set being in more URLs) become rules, and none that
+    contains an always blocked one: every other frequent set has such a subset with no less confidence,
+    so :func:`judge` gives what all rules would give, and tokens that come together make no 2^n sets.
+
     Rows of null url or label teach nothing; no labels give no rules. Only rules better than the base
     rate (lift above 1) stay.
     """
     known = labelled.where("url is not null and blocked is not null")
-    items = F.concat(F.slice(tokens_of(F.col("url")), 1, MINED_TOKENS), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>")))
-    baskets = table(known.select(items.alias("items")), "url-baskets")
-    n = baskets.count()
-    if n < least_rows or not n:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, key string, confidence double, support double, lift double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, least_rows / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") > 1)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    spark = labelled.sparkSession
+    n, blocked = known.agg(F.count("*"), F.count_if("blocked")).first()
+    if n < least_rows or not blocked:
+        return spark.createDataFrame([], "tokens array<string>, key string, confidence double, support double, lift double")
+    need = max(math.ceil(min_support * n), least_rows, 1)
+    baskets = _baskets(known, need)
+    # a level: the sets of so many tokens that are in `need` blocked URLs and in fewer URLs than each of their subsets
+    held = baskets.select("basket", F.col("n").alias("rows"), F.col("blocked").alias("bad"), F.explode("tokens").alias("last"))
+    held = held.select("basket", "rows", "bad", F.array().cast("array<string>").alias("head"), "last")
+    levels, below = [], None
+    while True:
+        tokens = F.concat("head", F.array("last"))
+        held = held.withColumn("tokens", tokens)
+        level = held.groupBy("tokens").agg(F.sum("rows").alias("n"), F.sum("bad").alias("b")).where((F.col("b") >= need) & (F.col("n") < n))
+        if below is not None:
+            parts = F.transform("tokens", lambda x, i: F.filter("tokens", lambda y, j: j != i))
+            met = level.select("tokens", "n", F.explode(parts).alias("part")).join(below.select(F.col("tokens").alias("part"), F.col("n").alias("more")), "part").where(F.col("n") < F.col("more"))
+            least = met.groupBy("tokens").agg(F.count("*").alias("parts")).where(F.col("parts") == F.size("tokens")).select("tokens")
+            level = level.join(least, "tokens")
+        level = table(level, "url-level")
+        levels.append(level)
+        below = level.where("b < n")
+        if below.count() < 2:
+            break
+        held = table(held.join(below.select("tokens"), "tokens").select("basket", "rows", "bad", "head", "last", "tokens"), "url-held")
+        right = held.select("basket", "head", F.col("last").alias("next"))
+        held = held.join(right, ["basket", "head"]).where(F.col("last") < F.col("next")).select("basket", "rows", "bad", F.col("tokens").alias("head"), F.col("next").alias("last"))
+    sets = levels[0]
+    for level in levels[1:]:
+        sets = sets.unionByName(level)
+    confidence = F.col("b") / F.col("n")
+    better = F.col("b").cast("decimal(38,0)") * n > F.col("n").cast("decimal(38,0)") * blocked
+    rules = sets.where((confidence >= min_confidence) & better).select("tokens", confidence.alias("confidence"), (F.col("b") / n).alias("support"), (confidence / (blocked / n)).alias("lift"))
+    # every token of a rule is a rule's subset, and so in the first level
+    single = levels[0].select(F.col("tokens")[0].alias("token"), F.col("n").alias("freq"))
     rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
     return rules.join(rarest, "tokens").select("tokens", "key", "confidence", "support", "lift")
 
