@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +106,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     Pairs are linked where their cosine in double precision is at least ``threshold``; n_links counts
     the other vectors linked directly, component_id is the least id reachable, kept marks that vector.
-    Null or zero vectors, those with null or non-finite components, those not of the most frequent
-    length, and rows of null id link with nothing (their component is their own id). Equal vectors are
+    Each length of vectors has an index of its own. Null or zero vectors, those with null or non-finite
+    components, and rows of null id link with nothing (their component is their own id). Equal vectors are
     one class from the start, so copies are never paired; a repeated row is the same vector. An empty
     table gives an empty result; other columns are ignored.
     """
@@ -114,12 +115,22 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(whole, F.lit(False)))
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dim").collect()
     alone = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not sizes:
         return rows.select("vec_id", *alone)
-    dim, n = sizes[0]
-    good = good.where(F.size("v") == dim).dropDuplicates(["vec_id"])
+    good = good.dropDuplicates(["vec_id"])
+    if len(sizes) > 1:  # an id has one vector in all indexes
+        good = table(good, "vectors")
+    judged = reduce(DataFrame.unionByName, [_of_length(good.where(F.size("v") == dim), dim, n, threshold, target, sample) for dim, n in sizes])
+    out = rows.select("vec_id").join(judged, "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _of_length(good: DataFrame, dim: int, n: int, threshold: float, target: float, sample: int) -> DataFrame:
+    """``vec_id, n_links, component_id`` of the vectors of one length, each id once."""
+    spark = good.sparkSession
     classes = table(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-classes")
 
     picked = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
@@ -151,10 +162,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     comp = connected_components(met.where("root is not null").select("id", "root"), "id", "root")
     per_class = classes.join(links, "id", "left").join(comp, "id", "left").select("v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    judged = good.join(per_class, "v").select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
-    out = rows.select("vec_id").join(judged, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return good.join(per_class, "v").select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
 
 
 class _Residents:
