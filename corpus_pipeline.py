@@ -15,7 +15,7 @@ from tracelake.llm.common import read, release, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or without a letter go."""
+    """Documents whose language can be told: only texts that are null or without a letter go, also where no language was learned."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 

@@ -26,8 +26,6 @@ U = np.uint64
 ORDER = 4
 #: At most so many labelled documents of each language are learned from (those of least id hash; whole texts).
 SAMPLE_PER_LANGUAGE = 1_000
-#: At most so many languages (the most frequent ones).
-LANGUAGES = 200
 SLICE_BYTES = 1 << 19
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -187,12 +185,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     gram = counted.column("gram").to_numpy().astype(np.int64).view(U)
     codes = names.indices.to_numpy().astype(np.int64)
     words = names.dictionary.to_pylist()
-    size = np.bincount(codes, weights=n, minlength=len(words)) if len(words) else np.zeros(0)
-    kept = sorted(np.argsort(-size, kind="stable")[:LANGUAGES].tolist(), key=lambda i: words[i])
+    kept = sorted(range(len(words)), key=lambda i: words[i])
     place = np.full(len(words), -1)
     place[kept] = np.arange(len(kept))
-    use = place[codes] >= 0 if len(words) else np.zeros(0, bool)
-    return Model.from_counts([words[i] for i in kept], place[codes[use]], gram[use], n[use])
+    return Model.from_counts([words[i] for i in kept], place[codes], gram, n)
 
 
 def _judge(column: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -232,7 +228,12 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language :func:`predict` names (not ``und``)."""
+    """The rows, with all their columns, whose language :func:`predict` names (not ``und``); where nothing was learned, those with a letter.
+
+    So null and letterless texts go, and no others: code lengths don't decide here.
+    """
+    if not model.languages:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
