@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracelake.llm import bpe, decontamination, ngram_join, sharding, substring_dedup
+from tracelake.llm import bpe, components, decontamination, ngram_join, sharding, substring_dedup
 from tracelake.llm import textkernel as tk
 
 from . import cases
@@ -62,8 +62,10 @@ def test_jaccard(docs, rows, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_families(spark):
+@pytest.mark.parametrize("elements", [ngram_join.BLOCK_ELEMENTS, 700])
+def test_jaccard_families(spark, monkeypatch, elements):
     """Near copies in a chain and in a family larger than a small bucket, with pairs just below and above the threshold."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", elements)  # the second: families in blocks
     rng = np.random.default_rng(3)
     rows = []
     for family in range(6):
@@ -81,6 +83,36 @@ def test_jaccard_families(spark):
     assert 6 < len({v[1] for v in want.values()}) < len(rows)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 20)), max_size=80), st.integers(1, 30))
+def test_buckets_in_batches_of_any_size(rows, step):
+    """Small buckets give all pairs, large ones a link of each member to the least; repeated rows and batch borders change nothing."""
+    rows = sorted(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([a + 1 for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["sig", "c"])
+    got = [r for out in ngram_join._bucket_pairs(batch.slice(at, step) for at in range(0, len(rows), step)) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    small, large = set(), []
+    for sig in range(5):
+        c = sorted({b for a, b in rows if a == sig})
+        if len(c) > ngram_join.SMALL_BUCKET:
+            large += [(x, c[0], sig + 1) for x in c]
+        else:
+            small |= {(x, y, 0) for x in c for y in c if x > y}
+    assert {r for r in got if r[2] == 0} == small
+    assert sorted(r for r in got if r[2]) == sorted(large)
+
+
+@pytest.mark.parametrize("per_task", [components.EDGES_PER_TASK, 10])
+def test_components(spark, per_task):
+    """Chains, stars, loops, repeated edges and null ends, in one task and in rounds of contraction."""
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(1000, 1100)] + [(5, i) for i in range(200, 260)] + [(7, 7), (1, None), (None, 2), (9, 8), (9, 8), (8, 9)]
+    edges += [tuple(map(int, rng.integers(2000, 2080, 2))) for _ in range(60)]
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), per_task=per_task).collect()
+    want = cases.roots({v for e in edges if None not in e for v in e}, [e for e in edges if None not in e])
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), per_task=per_task).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 150), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32))
 def test_partenum_never_misses(n, drop, add, seed):

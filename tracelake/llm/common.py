@@ -12,39 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session) is a temporary
-    folder made and set as checkpoint folder.
+    Where that setting is absent, a session in one process (a local test) gets a temporary folder; a
+    cluster has no folder of its own that all can read, so there it is an error.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tracelake-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` now and go on from reliable checkpoint files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tracelake-{what}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    Like :func:`cut`, but Catalyst sees the true size, so it broadcasts the table
-    only where it is below ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+
+class Scratch:
+    """Intermediate tables in the shared folder, deleted once what depends on them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it again.
+
+        This cuts lineage as a checkpoint does, survives lost executors, and Catalyst sees the true
+        size, so it broadcasts the table only below ``spark.sql.autoBroadcastJoinThreshold``.
+        """
+        path = fresh_path(self.spark, what)
+        self.paths.append(path)
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
+def table(df: DataFrame, what: str) -> DataFrame:
+    """A table of :class:`Scratch` that stays."""
+    return Scratch(df.sparkSession).table(df, what)
 
 
 def release(spark: SparkSession) -> None:

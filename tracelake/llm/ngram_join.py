@@ -22,11 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, release, table
+from .common import Scratch, release
 from .components import connected_components
 
 U = np.uint64
@@ -35,8 +35,8 @@ ENUMERATE_UP_TO = 3
 #: Buckets up to this size list all their pairs; larger ones are joined to their least member first
 #: and later compared in full between the components that this leaves.
 SMALL_BUCKET = 6
-#: Families of mixed buckets up to this size are compared where they meet; of larger ones the pairs go on to be joined with their texts.
-FAMILY_IN_MEMORY = 20_000
+#: Elements of a family of mixed buckets that one task compares; larger families are dealt in blocks by size range and salt.
+BLOCK_ELEMENTS = 2_000_000
 MAX_SIZE = 1 << 31
 
 
@@ -92,11 +92,9 @@ def _sets(w: tk.Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def _class_hash(s: np.ndarray) -> tuple[int, int]:
-    """Two order-free 64-bit hashes of a set, as signed longs."""
-    x = np.array([tk.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s)), tk.mix(s + U(0x14057B7EF767814F)).sum(dtype=U)], U)
-    a, b = x.view(np.int64).tolist()
-    return a, b
+def _class_hash(s: np.ndarray) -> int:
+    """An order-free 64-bit hash of a set, as a signed long."""
+    return int((tk.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))).view(np.int64))
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -140,21 +138,18 @@ def _signatures(s: np.ndarray, bands: Bands) -> list[np.ndarray]:
 
 
 def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, c, c2)``: set size and the two hashes of the set; null where the set is empty."""
+    """``(doc_id, n_shingles, c)``: set size and the hash of the set; null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for w in tk.slices(batch.column(1), tk.SPACED_LOWER):
                 sets = _sets(w, n)
-                hashes = [_class_hash(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(w.first, w.n_docs), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())],
-                    names=["doc_id", "n_shingles", "c", "c2"],
-                )
+                hashes = [_class_hash(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.n_docs), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "n_shingles", "c"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, c long, c2 long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, c long")
 
 
 def _signed(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
@@ -168,7 +163,7 @@ def _signed(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
                 for s in _sets(w, n):
                     if not len(s):
                         continue
-                    c = _class_hash(s)[0]
+                    c = _class_hash(s)
                     if c in done:
                         continue
                     done.add(c)
@@ -181,15 +176,18 @@ def _signed(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "sig long, c long")
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int]]:
-    """Groups of equal first column from batches sorted by it, in blocks of whole groups; the last group of a batch waits for the next."""
+def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Blocks of whole groups of equal first columns from batches sorted by them; the last group of a batch waits for the next."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
-        if held and cols[0][0] != held[-1][0][-1] or held and cols[0][0] != cols[0][-1]:
-            cut_at = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        last = np.ones(len(cols[0]), bool)
+        for k in cols[:keys]:
+            last &= k == k[-1]
+        cut_at = int(np.argmax(last))
+        if cut_at or held and any(k[0] != h[-1] for k, h in zip(cols[:keys], held[-1], strict=False)):
             block = [np.concatenate([h[i] for h in held] + [cols[i][:cut_at]]) for i in range(len(cols))]
             held = []
             if len(block[0]):
@@ -201,32 +199,62 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature and class: all pairs of small buckets, links to the least member of large ones (with their signature)."""
-    for sig, c in _sorted_groups(batches):
+    """From rows sorted by signature and class: all pairs of small buckets, links to the least member of large ones (with their signature).
+
+    Only the first members of the bucket that runs on are held, so a bucket of any size passes through.
+    """
+    sig_now, members, count, last = 0, np.empty(0, np.int64), 0, 0
+
+    def pairs_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.tril_indices(len(m), -1)
+        return m[i], m[j]
+
+    for batch in batches:
+        sig, c = (x.to_numpy() for x in batch.columns)
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
+        if len(sig) and count and sig[0] == sig_now and c[0] == last:
+            fresh[0] = False
         sig, c = sig[fresh], c[fresh]
+        if not len(sig):
+            continue
+        last = c[-1]
+        told = len(members) if count > SMALL_BUCKET else 0  # of the held bucket, members that have had their row
+        before = count - len(members)
+        sig, c = np.concatenate([np.full(len(members), sig_now, np.int64), sig]), np.concatenate([members, c])
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(first, len(sig)))
-        at = np.repeat(first, size)
-        many = np.repeat(size, size)
-        xs, ys, gs = [], [], []
-        large = (many > SMALL_BUCKET).nonzero()[0]
-        xs.append(c[large])
-        ys.append(c[at[large]])
-        gs.append(sig[large])
-        left = np.arange(len(sig)) - at
+        size[0] += before
+        length = np.diff(np.append(first, len(sig)))
+        many, at = np.repeat(size, length), np.repeat(first, length)
+        large = many > SMALL_BUCKET
+        large[:told] = False
+        i = np.flatnonzero(large)
+        xs, ys, gs = [c[i]], [c[at[i]]], [sig[i]]
+        open_at = int(first[-1])
+        small = (many <= SMALL_BUCKET) & (np.arange(len(sig)) < open_at)
+        place = np.arange(len(sig)) - at
         for d in range(1, SMALL_BUCKET):
-            i = ((many <= SMALL_BUCKET) & (left >= d)).nonzero()[0]
+            i = np.flatnonzero(small & (place >= d))
             xs.append(c[i])
             ys.append(c[i - d])
             gs.append(np.zeros(len(i), np.int64))
         x, y, g = map(np.concatenate, (xs, ys, gs))
+        sig_now, count = int(sig[-1]), int(size[-1])
+        members = c[open_at : open_at + (1 if count > SMALL_BUCKET else SMALL_BUCKET)]
         if len(x):
-            small = g == 0
-            pair = np.unique(np.stack([np.maximum(x[small], y[small]), np.minimum(x[small], y[small])], axis=1), axis=0) if small.any() else np.empty((0, 2), np.int64)
-            x, y, g = np.concatenate([pair[:, 0], x[~small]]), np.concatenate([pair[:, 1], y[~small]]), np.concatenate([g[small][:0], np.zeros(len(pair), np.int64), g[~small]])
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(g)], names=["x", "y", "sig"])
+            yield _pair_rows(x, y, g)
+    if 1 < count <= SMALL_BUCKET:
+        x, y = pairs_of(members)
+        yield _pair_rows(x, y, np.zeros(len(x), np.int64))
+
+
+def _pair_rows(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """Pairs of small buckets once a batch, greater class first; links of large ones as they are."""
+    small = g == 0
+    pair = np.unique(np.stack([np.maximum(x[small], y[small]), np.minimum(x[small], y[small])], axis=1), axis=0) if small.any() else np.empty((0, 2), np.int64)
+    x, y, g = np.concatenate([pair[:, 0], x[~small]]), np.concatenate([pair[:, 1], y[~small]]), np.concatenate([np.zeros(len(pair), np.int64), g[~small]])
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(g)], names=["x", "y", "sig"])
 
 
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint16)
@@ -285,7 +313,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFr
     return both.sortWithinPartitions("y").mapInArrow(run, "x long, y long")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a document of fewer than ``n`` words
@@ -293,34 +321,42 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least ``threshold``, computed exactly on 64-bit element hashes; component_id is the least id
     reachable. Rows without words or text link with nothing and are their own component; a null id
     gets a null component. Rows of equal sets are one class from the start (so copies never meet in
-    pairs), repeated rows included. Empty tables give an empty result; other columns are ignored.
+    pairs), repeated rows included; an id with several texts has a row for each, and all its texts
+    count as that document. Empty tables give an empty result; other columns are ignored. ``scratch``
+    gets the tables that the result depends on; all others are deleted before this returns.
     """
     bands = Bands(threshold)
     spark = docs.sparkSession
-    base = table(document_classes(docs, id_col=id_col, text_col=text_col, n=n), "ngram-sets")
+    keep, passing = scratch or Scratch(spark), Scratch(spark)
+    base = keep.table(document_classes(docs, id_col=id_col, text_col=text_col, n=n), "ngram-sets")
     classes = base.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = _signed(docs, text_col, n, bands).repartition(parts, "sig").sortWithinPartitions("sig", "c")
-    found = table(buckets.mapInArrow(_bucket_pairs, "x long, y long, sig long"), "ngram-pairs")
+    found = passing.table(buckets.mapInArrow(_bucket_pairs, "x long, y long, sig long"), "ngram-pairs")
     del buckets
     release(spark)
 
-    pairs = found.where("x <> y").select("x", "y").distinct()
-    sketched = _class_sketches(docs, found, classes, id_col, text_col, n)
+    sketched = passing.table(_class_sketches(docs, found, classes, id_col, text_col, n), "ngram-sketches")
+    release(spark)
+    likely = passing.table(_likely(found.where("x <> y").select("x", "y").distinct(), sketched, bands), "ngram-likely")
+    comp = passing.table(connected_components(_verified(likely, sketched, n, bands.t), "x", "y", scratch=passing), "ngram-components")
     release(spark)
-    edges = cut(_links(pairs, sketched, bands, n))
-    comp = cut(connected_components(edges, "x", "y"))
-    # large buckets that still hold several components: compare across them
-    more = _cross_links(found, sketched, comp, bands, n)
-    if more is not None:
-        edges = edges.unionByName(more)
-        comp = cut(connected_components(edges, "x", "y"))
-    labels = comp.join(classes, comp["id"] == classes["c"]).select("c", "component", "doc_id")
-    least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = labels.join(least, "component").select("c", "component_id")
-    singles = classes.select("c", F.col("doc_id").alias("own_id"))
-    by_class = singles.join(labels, "c", "left").select("c", F.coalesce("component_id", "own_id").alias("component_id"))
+    # large buckets that still hold several components: compare across them, and join the components that meet
+    mixed = passing.table(_mixed(found, comp), "ngram-mixed")
+    labels = comp.select(F.col("id").alias("c"), "component")
+    if not mixed.isEmpty():
+        over = passing.table(connected_components(_across(mixed, sketched, bands, n), "x", "y", scratch=passing), "ngram-across")
+        up = over.select(F.col("id").alias("component"), F.col("component").alias("upper"))
+        singles = up.join(labels, up["component"] == labels["c"], "left_anti").select(F.col("component").alias("c"), F.col("upper").alias("component"))
+        labels = labels.join(up, "component", "left").select("c", F.coalesce("upper", "component").alias("component")).unionByName(singles)
+    named = labels.join(classes.select("c", "doc_id"), "c")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = keep.table(named.join(least, "component").select("c", "component_id"), "ngram-labels")
+    passing.drop()
+    del found, sketched, likely, comp, mixed, labels, least
+    release(spark)
+    by_class = classes.join(named, "c", "left").select("c", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = base.join(by_class, "c", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -333,16 +369,17 @@ def _class_sketches(docs: DataFrame, found: DataFrame, classes: DataFrame, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = [_sketch(s) for w in tk.slices(batch.column(2), tk.SPACED_LOWER) for s in _sets(w, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sketches, pa.binary())], names=["c", "size", "text", "sketch"])
+            sets = [s for w in tk.slices(batch.column(2), tk.SPACED_LOWER) for s in _sets(w, n)]
+            # an id with several texts meets the classes of all of them: each text goes to its own
+            own = pa.array([_class_hash(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(map(_sketch, sets), pa.binary())], names=["c", "size", "text", "sketch"]).filter(own)
 
     # a repeated row would repeat its class; any one will do
-    one = one.select("c", "size", "text").mapInArrow(run, "c long, size long, text string, sketch binary")
-    return table(one, "ngram-sketches")
+    return one.select("c", "size", "text").mapInArrow(run, "c long, size long, text string, sketch binary")
 
 
-def _links(pairs: DataFrame, sketched: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """Similar pairs among candidate pairs: sizes and parities first, the sets themselves after."""
+def _likely(pairs: DataFrame, sketched: DataFrame, bands: Bands) -> DataFrame:
+    """Candidate pairs that sizes and parities don't rule out."""
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,12 +390,11 @@ def _links(pairs: DataFrame, sketched: DataFrame, bands: Bands, n: int) -> DataF
 
     sx = sketched.select(F.col("c").alias("x"), F.col("size").alias("nx"), F.col("sketch").alias("sx"))
     sy = sketched.select(F.col("c").alias("y"), F.col("size").alias("ny"), F.col("sketch").alias("sy"))
-    likely = pairs.join(sx, "x").join(sy, "y").select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(maybe, "x long, y long").distinct()
-    return _verified(table(likely, "ngram-likely"), sketched.select("c", "text"), n, bands.t)
+    return pairs.join(sx, "x").join(sy, "y").select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(maybe, "x long, y long").distinct()
 
 
-def _cross_links(found: DataFrame, sketched: DataFrame, comp: DataFrame, bands: Bands, n: int) -> DataFrame | None:
-    """Links between different components within one large bucket; None where no bucket holds two.
+def _mixed(found: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(leader, c, component)`` of the large buckets that hold several components.
 
     Near copies share many buckets, mostly with the same least member, so mixed buckets of one least
     member are looked at together and each class once.
@@ -366,39 +402,64 @@ def _cross_links(found: DataFrame, sketched: DataFrame, comp: DataFrame, bands:
     label = comp.select(F.col("id").alias("x"), "component")
     rows = found.where("sig <> 0").join(label, "x", "left").select("sig", F.col("y").alias("leader"), F.col("x").alias("c"), F.coalesce("component", "x").alias("component"))
     mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rows = table(rows.join(mixed, "sig", "left_semi").select("leader", "c", "component").distinct(), "ngram-mixed")
-    if rows.isEmpty():
-        return None
-    rows = rows.join(sketched.dropDuplicates(["c"]), "c").select("leader", "c", "component", "size", "sketch", "text")
+    return rows.join(mixed, "sig", "left_semi").select("leader", "c", "component").distinct()
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leader, c, component, size, sketch, text in _sorted_groups(batches):
-            first = np.flatnonzero(np.concatenate(([True], leader[1:] != leader[:-1])))
-            for a, b in zip(first, np.append(first[1:], len(leader)), strict=True):
-                family = _Family(c[a:b], component[a:b], size[a:b], sketch[a:b], bands)
-                if b - a <= FAMILY_IN_MEMORY:
-                    yield from _edges(family.links(text[a:b], n), True)
-                else:
-                    for some in family.candidates():
-                        yield from _edges(some, False)
 
-    ordered = rows.repartition("leader").sortWithinPartitions("leader", "size", "c")
-    edges = table(ordered.mapInArrow(across, "x long, y long, sure boolean").distinct(), "ngram-across")
-    return cut(edges.where("sure").select("x", "y").unionByName(_verified(edges.where("not sure"), sketched.select("c", "text"), n, bands.t)))
+def _dealt(rows: DataFrame, bands: Bands) -> DataFrame:
+    """The members of a family (rows of one leader) with the blocks ``(leader, g, kind, i, j)`` in which they are compared, and their side in it.
 
+    A family of up to BLOCK_ELEMENTS elements is one block of one side. In a larger one similar sets are in
+    the same size band or in neighbours, so members of band g, dealt over salts, meet each other (kind 0:
+    salt i with salt j) and those of band g - 1 (kind 1: salt i of g with salt j of g - 1).
+    """
+    rows = rows.withColumn("g", F.size(F.filter(F.array(*map(F.lit, bands.lower)), lambda low: low <= F.col("size"))))
+    w = Window.partitionBy("leader")
+    of_band = rows.groupBy("leader", "g").agg(F.sum("size").alias("elements")).select("leader", "g", F.sum("elements").over(w).alias("all"), F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("s"))
+    o = w.orderBy("g")
+    beside = lambda f, step: F.when(f("g").over(o) == F.col("g") + step, f("s").over(o)).otherwise(0)
+    of_band = of_band.select("leader", "g", "all", "s", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    mine = F.pmod(F.xxhash64("c"), F.col("s")).cast("int")
+    block = lambda g, kind, i, j, side: F.struct(g.cast("int").alias("g"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), f)).otherwise(F.array().cast("array<struct<g:int,kind:int,i:int,j:int,side:int>>"))
+    blocks = F.concat(
+        upto(F.col("s"), lambda t: block(F.col("g"), 0, F.least(mine, t), F.greatest(mine, t), mine)),
+        upto(F.col("below"), lambda t: block(F.col("g"), 1, mine, t, F.lit(0))),
+        upto(F.col("above"), lambda t: block(F.col("g") + 1, 1, t, mine, F.lit(1))),
+    )
+    whole = F.array(block(F.lit(-1), 0, F.lit(0), F.lit(0), F.lit(0)))
+    dealt = rows.join(of_band, ["leader", "g"]).withColumn("block", F.explode(F.when(F.col("all") <= BLOCK_ELEMENTS, whole).otherwise(blocks)))
+    return dealt.select("leader", "block.*", "c", "component", "size")
+
+
+def _across(mixed: DataFrame, sketched: DataFrame, bands: Bands, n: int) -> DataFrame:
+    """Pairs (x, y) of components that a link between members of one large bucket joins."""
 
-def _edges(pairs: list[tuple[int, int]], sure: bool) -> Iterator[pa.RecordBatch]:
-    if pairs:
-        x, y = zip(*pairs, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array([sure] * len(x))], names=["x", "y", "sure"])
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _sorted_groups(batches, 5):
+            component, size, side, sketch, text = cols[6:]
+            key = np.stack(cols[:5], axis=1)
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+            for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+                across_only = key[a, 2] == 1 or key[a, 3] != key[a, 4]
+                pairs = _Family(component[a:b], size[a:b], side[a:b] if across_only else None, sketch[a:b], bands).links(text[a:b], n)
+                if pairs:
+                    x, y = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    sizes = sketched.select("c", "size").dropDuplicates(["c"])
+    dealt = _dealt(mixed.join(sizes, "c"), bands).join(sketched.select("c", "sketch", "text").dropDuplicates(["c"]), "c")
+    key = ["leader", "g", "kind", "i", "j"]
+    ordered = dealt.select(*key, "c", "component", "size", "side", "sketch", "text").repartition(*key).sortWithinPartitions(*key, "size", "c")
+    return ordered.mapInArrow(across, "x long, y long")
 
 
 class _Family:
-    """Classes of mixed buckets with one least member, sorted by size."""
+    """Classes of mixed buckets with one least member, sorted by size; with sides, only those of different sides are compared."""
 
-    def __init__(self, c: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: Bands):
-        self.c, self.size, self.bands = c, size, bands
-        _, self.component = np.unique(component, return_inverse=True)
+    def __init__(self, component: np.ndarray, size: np.ndarray, side: np.ndarray | None, sketch: np.ndarray, bands: Bands):
+        self.size, self.side, self.bands = size, side, bands
+        self.names, self.component = np.unique(component, return_inverse=True)
+        self.own = self.component.copy()
         self.sketch = [np.frombuffer(s, np.uint8) for s in sketch]
         self.width = np.array([len(s) for s in self.sketch])
         self.folded: dict[int, np.ndarray] = {}
@@ -413,7 +474,10 @@ class _Family:
         """Smaller (or earlier) classes of other components that sizes and parities don't rule out, nearest first."""
         t = self.bands.t
         lo = int(np.searchsorted(self.size, self.size[i] * float(t) - 1e-6))
-        j = lo + np.flatnonzero(self.component[lo:i] != self.component[i])
+        other = self.component[lo:i] != self.component[i]
+        if self.side is not None:
+            other &= self.side[lo:i] != self.side[i]
+        j = lo + np.flatnonzero(other)
         found, apart = [], []
         for width in np.unique(self.width[j]):
             z = j[self.width[j] == width]
@@ -426,10 +490,6 @@ class _Family:
             return np.empty(0, np.int64)
         return np.concatenate(found)[np.argsort(np.concatenate(apart), kind="stable")]
 
-    def candidates(self) -> Iterator[list[tuple[int, int]]]:
-        for i in range(1, len(self.c)):
-            yield [(int(self.c[i]), int(self.c[j])) for j in self.near(i)]
-
     def links(self, text: np.ndarray, n: int) -> list[tuple[int, int]]:
         """Links that join the family's components as far as they go; a pair already joined isn't compared."""
         sets: dict[int, np.ndarray] = {}
@@ -440,9 +500,9 @@ class _Family:
             return sets[i]
 
         t, out = self.bands.t, []
-        for i in range(1, len(self.c)):
+        for i in range(1, len(self.size)):
             for j in self.near(i).tolist():
                 if self.component[i] != self.component[j] and similar(of(i), of(j), t.numerator, t.denominator):
-                    out.append((int(self.c[i]), int(self.c[j])))
+                    out.append((int(self.names[self.own[i]]), int(self.names[self.own[j]])))
                     self.component[self.component == self.component[j]] = self.component[i]
         return out
