@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontamination, language_id, ngram_join, substring_dedup
-from tracelake.llm.common import read, release, table
+from tracelake.llm.common import Scratch, read, release, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id."""
-    found = ngram_join.jaccard_components(docs)
-    losers = table(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-losers")
+    """One document of each group of near duplicates: the one of least id.
+
+    Documents without words and rows of null id stay. Of rows that repeat both id and text one stays;
+    rows that share an id are one document in the search, so all its texts go where one of them is a
+    later near copy. An empty table gives none.
+    """
+    keep, own = Scratch(spark), Scratch(spark)
+    found = ngram_join.jaccard_components(docs, scratch=own)
+    known = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("later"), (F.count("*") > 1).alias("repeated"))
+    known = keep.table(known.where("later or repeated"), "pipeline-near")
     del found
+    own.drop()
     release(spark)
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(known.where("later"), "doc_id", "left_anti")
+    again = known.where("repeated and not later").select("doc_id")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
