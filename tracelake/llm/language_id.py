@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import table
+from .common import Scratch
 
 U = np.uint64
 ORDER = 4
 #: At most so many labelled documents of each language are learned from (those of least id hash; whole texts).
 SAMPLE_PER_LANGUAGE = 1_000
+#: A text that every language codes in this many bits a byte or more, no better than raw bytes, is in none of them.
+MOST_BITS = 8.0
 SLICE_BYTES = 1 << 19
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -165,8 +167,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learn from rows with text and language whose id isn't in the held-out fold (null ids never are used)."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= sample)
-    picked = table(picked.select("id").distinct(), "language-sample")
+    named = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    # of n documents, a little more than the sample lies below this hash: so few are ranked, however large a language is
+    share = F.least(F.lit(1.0), (sample + 10 * sample**0.5 + 50) / F.col("n"))
+    few = named.join(named.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.xxhash64("id").cast("double") <= share * 2.0**64 - 2.0**63)
+    picked = few.withColumn("rank", rank).where(F.col("rank") <= sample)
+    scratch = Scratch(docs.sparkSession)
+    picked = scratch.table(picked.select("id").distinct(), "language-sample")
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(picked, "id", "left_semi")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +185,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = rows.select("lang", "text").mapInArrow(counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    scratch.drop()
     names = counted.column("lang").combine_chunks().dictionary_encode() if len(counted) else pa.array([], pa.string()).dictionary_encode()
     if isinstance(names, pa.ChunkedArray):
         names = names.combine_chunks()
@@ -227,20 +235,26 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language :func:`predict` names (not ``und``); where nothing was learned, those with a letter.
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang", most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows whose language can be told, with all their columns, ``lang`` replaced by the predicted language.
 
-    So null and letterless texts go, and no others: code lengths don't decide here.
+    Null and letterless texts go, and texts that no language's model codes in fewer than ``most_bits``
+    bits a byte (letters at random, encoded data). Where nothing was learned, texts with a letter stay
+    with the label they have. Repeated rows are judged each; an empty table gives none.
     """
     if not model.languages:
         return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place, label = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield part.filter(pa.array([x != "und" for x in _judge(part.column(place), shared.value)[0]]))
+                lang, _, rate = _judge(part.column(place), shared.value)
+                columns = part.columns
+                columns[label] = pa.array(lang, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array((rate < most_bits) & np.array([x != "und" for x in lang], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == lang_col else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, kinds)

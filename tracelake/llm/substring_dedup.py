@@ -92,18 +92,26 @@ class SuffixAutomaton:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """``(h, doc_id, pos, sure)`` of anchors. Of an anchor that a slice of documents has several times, two go by its
+    hash; the rest are known to be repeated and are dealt by place, so an anchor of very many documents is no hot key."""
     for batch in batches:
         for w in tk.slices(batch.column(1), tk.SPACED):
             at = tk.winnow(w, ANCHOR, window)
             if len(at):
-                h = tk.grams(w.hash, ANCHOR)[at].view(np.int64)
+                h = tk.grams(w.hash, ANCHOR)[at]
+                order = np.argsort(h, kind="stable")
+                same = h[order][1:] == h[order][:-1]
+                sure = np.zeros(len(h), bool)
+                sure[order[2:]] = same[1:] & same[:-1]
                 doc = w.doc[at]
+                pos = (at - w.bounds[doc]).astype(np.int32)
                 ids = batch.column(0).take(pa.array(doc + w.first))
-                yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array((at - w.bounds[doc]).astype(np.int32))], names=["h", "doc_id", "pos"])
+                h[sure] = tk.mix(h[sure] + tk.mix(at[sure].astype(U) + U(batch.num_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(pos), pa.array(sure)], names=["h", "doc_id", "pos", "sure"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, those that have an equal neighbour; one row waits for the next batch."""
+    """Of rows sorted by hash, those that have an equal neighbour or are sure to; one row waits for the next batch."""
     held: pa.RecordBatch | None = None
     before = None  # hash of the row ahead of ``held``
     for batch in batches:
@@ -117,12 +125,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] = before is not None and h[0] == before
         later = np.zeros(len(h), bool)
         later[:-1] = same[1:]
-        out = (same | later)[:-1]
+        out = (same | later | batch.column(3).to_numpy(zero_copy_only=False))[:-1]
         if len(h) > 1:
             before = h[-2]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["doc_id", "pos"]).slice(0, len(h) - 1).filter(pa.array(out))
         held = batch.slice(len(h) - 1)
-    if held is not None and before is not None and held.column(0)[0].as_py() == before:
+    if held is not None and (held.column(3)[0].as_py() or before is not None and held.column(0)[0].as_py() == before):
         yield pa.RecordBatch.from_arrays([held.column(1), held.column(2)], names=["doc_id", "pos"])
 
 
@@ -132,7 +140,7 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
     Out: (key, doc_id, start, n, words). A run whose words were seen in this task already has
     null words and a key of its own: all of it is marked.
     """
-    seen: dict[tuple[int, bytes], tuple] = {}
+    seen: dict[bytes, tuple] = {}  # digests of runs, so as many bytes a run however long it is
     for batch in batches:
         ids, places = batch.column(0), batch.column(2)
         for w in tk.slices(batch.column(1), tk.SPACED):
@@ -163,7 +171,7 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             for a, b, h, d in zip(first.tolist(), last.tolist(), g[anchor[first]].view(np.int64).tolist(), w.doc[first].tolist(), strict=True):
                 words = w.text(a, b)
                 place = (ids[w.first + d].as_py(), a - int(w.bounds[d]))
-                if seen.setdefault((h, words), place) == place:
+                if seen.setdefault(hashlib.blake2b(words, digest_size=16, key=h.to_bytes(8, "big", signed=True)).digest(), place) == place:
                     texts.append(words)
                 else:
                     texts.append(None)
@@ -326,7 +334,7 @@ def remove_earlier_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col
     base = rows.repartition(parts, "doc_id").join(copies, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *extra)
     fresh = base.where("not copy").select("doc_id", "text")
 
-    anchors = fresh.mapInArrow(lambda b: _anchor_rows(b, window), f"h long, doc_id {kind}, pos int")
+    anchors = fresh.mapInArrow(lambda b: _anchor_rows(b, window), f"h long, doc_id {kind}, pos int, sure boolean")
     repeated = anchors.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, f"doc_id {kind}, pos int")
     places = repeated.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     runs = fresh.join(places, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda b: _runs(b, window), f"key long, doc_id {kind}, start int, n int, words binary")
