@@ -15,7 +15,12 @@ from tracelake.llm.common import Scratch, read, release, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: only texts that are null or without a letter go, also where no language was learned."""
+    """Documents whose language can be told, ``lang`` being the predicted one.
+
+    Null and letterless texts go, and those that no learned language codes well; where no row has a
+    language, texts with a letter stay as they are. Repeated rows and null ids are judged each; an
+    empty table gives none.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
@@ -42,7 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 20 words or more that start earlier; n_chars follows the text."""
+    """All documents, without the passages of 20 words or more that start earlier; n_chars follows the text.
+
+    Null and short texts and rows of null id stay as they are; rows that repeat an id are one document,
+    none of which is earlier than the other. An empty table gives none.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = substring_dedup.remove_earlier_passages(docs, with_text=True, carry=others)
     back = {c: F.col(f"c{i}") for i, c in enumerate(others)}
@@ -52,14 +61,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
+    """Documents that hold no benchmark window; of an id that repeats, all rows go if one holds one.
+
+    Null texts and rows of null id stay; without benchmark items all do. An empty table gives none.
+    """
     found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
     hit = table(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "pipeline-contaminated")
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document that is left."""
+    """Token counts and digests of each row that is left, repeated or not; a null text has no tokens. An empty table gives none."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
