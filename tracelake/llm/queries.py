@@ -59,7 +59,7 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     manifest = warc.write_archives(pages, fresh_path(spark, "warc"))
     records = table(warc.read_archives(spark, manifest), "warc-records")
-    out = warc.resolve(records)
+    out = warc.resolve(records, pages)
     kind = pages.schema["page_id"].dataType
     return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 

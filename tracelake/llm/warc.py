@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,6 +26,10 @@ from .common import table
 FILE_BYTES = 32 << 20
 LEVEL = 4
 CHUNK = 1 << 20
+#: Bytes of a member that are inflated at a time.
+PIECE = 1 << 14
+#: A record of more bytes than this, inflated or not, fails its check, so that a false or hostile member can't fill a task's memory.
+MOST_BYTES = 1 << 28
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +48,7 @@ def _line(value: str) -> str:
     return " ".join(value.split())
 
 
-def _member(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+def _member(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
@@ -52,14 +57,14 @@ def _member(page_id: str, url: str, payload: bytes, digest: str, refers_to: str
         f"WARC-Record-ID: {_record_id(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_line(url)}",
-        f"WARC-Page-ID: {page_id}",
+        *([f"WARC-Page-ID: {quote(page_id, safe='')}"] if page_id is not None else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[5:5] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"WARC-Refers-To-Page: {refers_to}"]
+        head[5:5] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"WARC-Refers-To-Page: {quote(refers_to, safe='')}"]
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
@@ -69,7 +74,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     Of rows whose payloads (UTF-8; null: empty) are equal and of ``least`` bytes or more, that of the
     least id holds the payload and the others are revisits that refer to it; a repeated row refers to
-    its own page. Rows of null id are written as responses with an empty page id. Files are whole
+    its own page. Rows of null id are written as responses without a page id; ids stand percent-encoded
+    in the headers, so that blanks and line breaks come back. Files are whole
     before they get their name, and only files in the manifest count, so what a lost executor left
     behind is never read.
     """
@@ -94,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{name}.open", compression=None)
-                member = _member(page_id or "", url, payload, base32_sha1(payload), refers_to, date)
+                member = _member(page_id, url, payload, base32_sha1(payload), refers_to, date)
                 out.write(member)
                 records, size = records + 1, size + len(member)
                 if size >= FILE_BYTES:
@@ -122,27 +128,48 @@ class BadRecord(ValueError):
 
 
 class Salvage:
-    """Records of one archive in order, and the gaps between them."""
+    """Records of one archive in order, and the gaps between them.
+
+    The archive is read once from front to back; the buffer starts at the record that is being checked,
+    so that a failed check can go on searching from there without reading again.
+    """
 
     def __init__(self, source: pa.NativeFile):
         self.source, self.size = source, source.size()
+        self.buffer, self.base = bytearray(), 0
         self.gaps: list[tuple[int, int, str]] = []
 
     def _at(self, offset: int, n: int) -> bytes:
-        self.source.seek(offset)
-        return self.source.read(n)
+        """Up to ``n`` bytes from ``offset`` on, which isn't before the buffer's start."""
+        at = offset - self.base
+        while len(self.buffer) < at + n:
+            data = self.source.read(CHUNK)
+            if not data:
+                break
+            self.buffer += data
+        return bytes(memoryview(self.buffer)[at : at + n])
+
+    def _forget(self, offset: int) -> None:
+        """Nothing before ``offset`` will be asked for."""
+        if offset > self.base:
+            self._at(offset, 0)
+            del self.buffer[: offset - self.base]
+            self.base = offset
 
     def _member(self, offset: int) -> tuple[bytes, int]:
-        z, at, out = zlib.decompressobj(31), offset, []
+        z, at, out, total = zlib.decompressobj(31), offset, [], 0
         while not z.eof:
-            data = self._at(at, CHUNK)
+            data = self._at(at, PIECE)
             if not data:
                 raise BadRecord("member breaks off")
             try:
-                out.append(z.decompress(data))
+                out.append(z.decompress(data, MOST_BYTES - total + 1))
             except zlib.error as e:
                 raise BadRecord(f"gzip: {e}") from None
             at += len(data)
+            total += len(out[-1])
+            if total > MOST_BYTES or at - offset > MOST_BYTES:
+                raise BadRecord("too many bytes")
         return b"".join(out), at - len(z.unused_data)
 
     @staticmethod
@@ -178,31 +205,36 @@ class Salvage:
             return self._checked(data, offset, stop)
         if not start.startswith(VERSION):
             raise BadRecord("no record starts here")
-        data, at = b"", offset
-        while b"\r\n\r\n" not in data:
-            more = self._at(at, CHUNK)
-            if not more:
+        head = self._at(offset, PIECE)
+        while b"\r\n\r\n" not in head:
+            if len(head) > MOST_BYTES:
+                raise BadRecord("too many bytes")
+            more = self._at(offset, 2 * len(head))
+            if len(more) == len(head):
                 raise BadRecord("no end of headers")
-            data, at = data + more, at + len(more)
-        head = data.partition(b"\r\n\r\n")[0]
+            head = more
+        head = head.partition(b"\r\n\r\n")[0]
         n = self._headers(head).get("content-length", "")
         if not n.isdigit():
             raise BadRecord("no content length")
         stop = offset + len(head) + 4 + int(n) + 4
         if stop > self.size:
             raise BadRecord("block length")
+        if stop - offset > MOST_BYTES:
+            raise BadRecord("too many bytes")
         return self._checked(self._at(offset, stop - offset), offset, stop)
 
     def _next_start(self, offset: int) -> int:
-        """The next offset where a member or a version line may start, or the size."""
+        """The next offset where a member or a version line may start, or the size; what lies before it is forgotten."""
         while offset < self.size:
-            data = self._at(offset, CHUNK)
-            found = [i for i in (data.find(MAGIC), data.find(VERSION)) if i >= 0]
+            self._forget(offset)
+            self._at(offset, CHUNK)
+            found = [i for i in (self.buffer.find(MAGIC), self.buffer.find(VERSION)) if i >= 0]
             if found:
                 return offset + min(found)
-            if len(data) < CHUNK:
+            if self.base + len(self.buffer) >= self.size:
                 break
-            offset += CHUNK - len(VERSION) + 1
+            offset = self.base + len(self.buffer) - len(VERSION) + 1
         return self.size
 
     def __iter__(self) -> Iterator[Record]:
@@ -224,11 +256,16 @@ class Salvage:
                     return
             yield record
             at = record.stop
+            self._forget(at)
 
 
 _READ = "file string, start long, stop long, kind string, page_id string, url string, refers_to string, payload_bytes long, payload_digest string, reason string"
 
 
+def _id(headers: dict[str, str], name: str) -> str | None:
+    return unquote(headers[name]) if name in headers else None
+
+
 def read_archives(spark: SparkSession, files: DataFrame, *, with_payload: bool = False) -> DataFrame:
     """Records and quarantined gaps of the archives in ``files(file)``, one row each.
 
@@ -253,7 +290,7 @@ def read_archives(spark: SparkSession, files: DataFrame, *, with_payload: bool =
                         if digest and h.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
                             rows.append((file, r.start, r.stop, "gap", None, None, None, None, None, "payload digest", None))
                             continue
-                        rows.append((file, r.start, r.stop, kind, h.get("warc-page-id") or None, h.get("warc-target-uri"), h.get("warc-refers-to-page"), len(payload) if digest else None, digest, None, payload if digest else None))
+                        rows.append((file, r.start, r.stop, kind, _id(h, "warc-page-id"), h.get("warc-target-uri"), _id(h, "warc-refers-to-page"), len(payload) if digest else None, digest, None, payload if digest else None))
                         held += len(payload)
                         if held > CHUNK * 8:
                             yield _batch(rows)
@@ -275,9 +312,18 @@ def read_archives(spark: SparkSession, files: DataFrame, *, with_payload: bool =
     return files.select("file").repartition(parts, "file").mapInArrow(run, _READ + ", payload binary" * with_payload)
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of responses and revisits; a revisit takes its response's payload."""
+def resolve(records: DataFrame, pages: DataFrame | None = None, *, id_col: str = "page_id") -> DataFrame:
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of responses and revisits; a revisit takes its response's payload.
+
+    A revisit whose response lies in a gap keeps its row, with null payload columns. ``pages``: every id
+    of theirs that no record has (its record lies in a gap) gets a row of type ``lost`` with nulls.
+    """
     own = records.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     held = records.where("kind = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
     seen = records.where("kind = 'revisit'").select("page_id", "refers_to").join(held, "refers_to", "left")
-    return own.unionByName(seen.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
+    out = own.unionByName(seen.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
+    if pages is None:
+        return out
+    ids = pages.select(F.col(id_col).cast("string").alias("page_id")).where("page_id is not null")
+    lost = ids.join(records.where("kind in ('response', 'revisit')").select("page_id"), "page_id", "left_anti").distinct()
+    return out.unionByName(lost.select("page_id", F.lit("lost").alias("record_type")), allowMissingColumns=True)
