@@ -170,7 +170,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     named = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
     # of n documents, a little more than the sample lies below this hash: so few are ranked, however large a language is
     share = F.least(F.lit(1.0), (sample + 10 * sample**0.5 + 50) / F.col("n"))
-    few = named.join(named.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.xxhash64("id").cast("double") <= share * 2.0**64 - 2.0**63)
+    # the counts are a row a language, less than the model itself, which is broadcast whole; a join by shuffle would have a hot language
+    few = named.join(F.broadcast(named.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.xxhash64("id").cast("double") <= share * 2.0**64 - 2.0**63)
     picked = few.withColumn("rank", rank).where(F.col("rank") <= sample)
     scratch = Scratch(docs.sparkSession)
     picked = scratch.table(picked.select("id").distinct(), "language-sample")

@@ -340,13 +340,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sketched = passing.table(_class_sketches(docs, found, classes, id_col, text_col, n), "ngram-sketches")
     release(spark)
     likely = passing.table(_likely(found.where("x <> y").select("x", "y").distinct(), sketched, bands), "ngram-likely")
-    comp = passing.table(connected_components(_verified(likely, sketched, n, bands.t), "x", "y", scratch=passing), "ngram-components")
+    # links are written first: a stage with two Arrow functions would hold two Python workers a task
+    links = passing.table(_verified(likely, sketched, n, bands.t), "ngram-links")
+    comp = passing.table(connected_components(links, "x", "y", scratch=passing), "ngram-components")
     release(spark)
     # large buckets that still hold several components: compare across them, and join the components that meet
     mixed = passing.table(_mixed(found, comp), "ngram-mixed")
     labels = comp.select(F.col("id").alias("c"), "component")
     if not mixed.isEmpty():
-        over = passing.table(connected_components(_across(mixed, sketched, bands, n), "x", "y", scratch=passing), "ngram-across")
+        more = passing.table(_across(mixed, sketched, bands, n), "ngram-more")
+        over = passing.table(connected_components(more, "x", "y", scratch=passing), "ngram-across")
         up = over.select(F.col("id").alias("component"), F.col("component").alias("upper"))
         singles = up.join(labels, up["component"] == labels["c"], "left_anti").select(F.col("component").alias("c"), F.col("upper").alias("component"))
         labels = labels.join(up, "component", "left").select("c", F.coalesce("upper", "component").alias("component")).unionByName(singles)
@@ -354,7 +357,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = keep.table(named.join(least, "component").select("c", "component_id"), "ngram-labels")
     passing.drop()
-    del found, sketched, likely, comp, mixed, labels, least
+    del found, sketched, likely, links, comp, mixed, labels, least
     release(spark)
     by_class = classes.join(named, "c", "left").select("c", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = base.join(by_class, "c", "left")
