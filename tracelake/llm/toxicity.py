@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import table
+from .common import Scratch
 from .language_id import fold
 
 U = np.uint64
@@ -30,6 +30,8 @@ SAMPLE_UNLABELLED = 16_000
 #: A feature must occur in so many texts of the sample.
 LEAST_TEXTS = 5
 MEMBERS = 3
+#: A step of training sees an eighth of either side, or this many texts.
+LEAST_SLICE = 256
 
 
 def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -49,21 +51,28 @@ def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rows:
-    """A sparse binary matrix with rows of unit length."""
+    """A sparse binary matrix with rows of unit length; ``features`` that are in use are its columns, in order."""
 
     def __init__(self, lists: list[np.ndarray], use: np.ndarray):
-        lists = [x[use[x]] for x in lists]
+        column = np.cumsum(use) - 1
+        lists = [column[x[use[x]]] for x in lists]
         size = np.array([len(x) for x in lists], np.int64)
-        self.n = len(lists)
+        self.n, self.width = len(lists), int(use.sum())
+        self.start = np.concatenate([[0], np.cumsum(size)])
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)
         self.col = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
         self.scale = 1 / np.sqrt(np.maximum(size, 1))
 
-    def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.col], self.n) * self.scale
+    def dot(self, weights: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Of rows lo to hi."""
+        hi = self.n if hi is None else hi
+        a, b = self.start[lo], self.start[hi]
+        return np.bincount(self.row[a:b] - lo, weights[self.col[a:b]], hi - lo) * self.scale[lo:hi]
 
-    def grad(self, per_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, (per_row * self.scale)[self.row], 1 << BITS)
+    def grad(self, per_row: np.ndarray, lo: int = 0) -> np.ndarray:
+        """Of rows lo on, as many as ``per_row`` has."""
+        a, b = self.start[lo], self.start[lo + len(per_row)]
+        return np.bincount(self.col[a:b], (per_row * self.scale[lo : lo + len(per_row)])[self.row[a:b] - lo], self.width)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -83,24 +92,30 @@ class Model:
         return cls(np.full(1 << BITS, np.nan), 0.0, (np.zeros(1), np.full(1, value)))
 
 
-def train(positive: Rows, unlabelled: Rows, prior: float, *, seed: int, steps: int = 160, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with logistic loss, by Adam."""
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The unlabelled texts' corrected risk as negatives, and the gradient by the scores of what a step descends.
+
+    With logistic loss: where that risk is not below zero, the gradient of the whole risk, else the
+    gradient of its negative.
+    """
+    loss_u = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    # d loss(f)/df = -sigmoid(-f); d loss(-f)/df = sigmoid(f)
+    as_negative_p, as_negative_u = -prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    if loss_u >= 0:
+        return loss_u, -prior * _sigmoid(-fp) / len(fp) + as_negative_p, as_negative_u
+    return loss_u, -as_negative_p, -as_negative_u
+
+
+def train(positive: Rows, unlabelled: Rows, prior: float, *, seed: int, steps: int = 240, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by Adam over slices of either side in turn."""
     rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, 0.01, 1 << BITS), float(np.log(prior / (1 - prior)))
+    w, b = rng.normal(0, 0.01, positive.width), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    slices = [np.linspace(0, x.n, max(1, min(8, x.n // LEAST_SLICE)) + 1).astype(int) for x in (positive, unlabelled)]
     for t in range(1, steps + 1):
-        # every step sees a random nine tenths of either side
-        in_p, in_u = rng.random(positive.n) < 0.9, rng.random(unlabelled.n) < 0.9
-        weight_p, weight_u = in_p / max(1, in_p.sum()), in_u / max(1, in_u.sum())
-        fp, fu = positive.dot(w) + b, unlabelled.dot(w) + b
-        loss_u = (np.logaddexp(0, fu) * weight_u).sum() - prior * (np.logaddexp(0, fp) * weight_p).sum()
-        # d loss(f)/df = -sigmoid(-f); d loss(-f)/df = sigmoid(f)
-        as_negative_p, as_negative_u = -prior * _sigmoid(fp) * weight_p, _sigmoid(fu) * weight_u
-        if loss_u >= 0:
-            gp, gu = -prior * _sigmoid(-fp) * weight_p + as_negative_p, as_negative_u
-        else:
-            gp, gu = -as_negative_p, -as_negative_u
-        g = np.append(positive.grad(gp) + unlabelled.grad(gu) + decay * w, gp.sum() + gu.sum())
+        (p0, p1), (u0, u1) = ((s[t % (len(s) - 1)], s[t % (len(s) - 1) + 1]) for s in slices)
+        _, gp, gu = risk(positive.dot(w, p0, p1) + b, unlabelled.dot(w, u0, u1) + b, prior)
+        g = np.append(positive.grad(gp, p0) + unlabelled.grad(gu, u0) + decay * w, gp.sum() + gu.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -150,10 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n or not positives or positives == n:
         return Model.constant(0.98 if positives else 0.02)
     prior = positives / n
-    least = lambda df, most: df.orderBy(F.xxhash64("id"), "id").limit(most)
+
+    def least(df: DataFrame, most: int) -> DataFrame:
+        """Those of least hash; only rows below a bound that leaves a little more are sorted."""
+        share = min(1.0, (most + 10 * most**0.5 + 50) / max(1, df.count()))
+        return df.where(F.xxhash64("id").cast("double") <= share * 2.0**64 - 2.0**63).orderBy(F.xxhash64("id"), "id").limit(most)
+
     texts = docs.where(outside & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     confirmed = least(known.where("toxic = 1").select("id"), sample_positive).withColumn("kind", F.lit(1))
-    other = least(texts.select("id").distinct(), sample_unlabelled).withColumn("kind", F.lit(0))
+    other = least(texts.select("id"), sample_unlabelled).distinct().withColumn("kind", F.lit(0))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_docs), batch.column(2).slice(w.first, w.n_docs), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))], names=["id", "kind", "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = texts.join(table(confirmed.unionByName(other), "toxicity-sample"), "id").select("id", "text", "kind").mapInArrow(lists, f"id {kind}, kind int, features array<int>").toArrow()
-    order = got.select(["kind", "id"]).to_pandas().sort_values(["kind", "id"], kind="stable").index.to_numpy()  # runs and partitions don't matter
+    scratch = Scratch(docs.sparkSession)
+    got = texts.join(scratch.table(confirmed.unionByName(other), "toxicity-sample"), "id").select("id", "text", "kind").mapInArrow(lists, f"id {kind}, kind int, features array<int>").withColumn("hash", F.xxhash64("id")).toArrow()
+    scratch.drop()
+    order = got.select(["kind", "hash", "id"]).to_pandas().sort_values(["kind", "hash", "id"], kind="stable").index.to_numpy()  # runs and partitions don't matter
     got = got.take(order).combine_chunks()
     which = got.column("kind").to_numpy()
     rows = [x.values.to_numpy() for x in got.column("features")]
@@ -172,13 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     use = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= LEAST_TEXTS if rows else np.zeros(1 << BITS, bool)
     if len(p) < MEMBERS or len(u) < MEMBERS:
         return Model.constant(0.02)
-    w, b, fp, fu = np.zeros(1 << BITS), 0.0, [], []
+    w, b, fp, fu = np.zeros(int(use.sum())), 0.0, [], []
     for k in range(MEMBERS):
         wk, bk = train(Rows([x for i, x in enumerate(p) if i % MEMBERS != k], use), Rows([x for i, x in enumerate(u) if i % MEMBERS != k], use), prior, seed=k)
         fp.append(Rows(p[k::MEMBERS], use).dot(wk) + bk)
         fu.append(Rows(u[k::MEMBERS], use).dot(wk) + bk)
         w, b = w + wk / MEMBERS, b + bk / MEMBERS
-    return Model(np.where(use, w, np.nan), b, calibrate(np.concatenate(fp), np.concatenate(fu), prior))
+    weights = np.full(1 << BITS, np.nan)
+    weights[use] = w
+    return Model(weights, b, calibrate(np.concatenate(fp), np.concatenate(fu), prior))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
