@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +9,9 @@ from ..functions import text as T
 from ..operators import attribute, detect, evaluate, memory, overview, recover, scrub, windows
 from ..sources import fixtures, ingest
 from ..sources.fixtures import EVT_SQL, conversation_runs, event_runs, table
+from . import events  # noqa: F401
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 BUDGET = 65
 
 FAILED_SQL = "failed AS (SELECT trace_id, coalesce(bool_or(NOT success), false) AS failed, count(*) AS n_events FROM evt GROUP BY 1)"
@@ -33,16 +30,6 @@ W_SUM = f"WITH {EVT_SQL}, {FINDINGS_SQL}, {SUMMARY_SQL} "
 PAIRS_SQL = "pairs AS (SELECT doc_id, concat('T', quality) AS h_tag, concat('T', 1 - toxic) AS l_tag, doc_id % 7 AS h_step, (doc_id * 3) % 7 AS l_step, concat('a', doc_id % 3) AS annotator FROM labels)"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_runs(table(spark, sf_dir, "events"))
 

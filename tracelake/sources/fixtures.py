@@ -55,3 +55,28 @@ SELECT concat('u', cast(user_id AS varchar)) AS trace_id, cast(event_id AS varch
  CASE WHEN event_type='error' THEN concat('code ', cast(k % 7 AS varchar)) END AS error,
  CASE WHEN event_type='error' AND k >= 95 THEN false END AS success, value AS duration_ms, ts
 FROM (SELECT *, cast(regexp_extract(props,'([0-9]+)',1) AS int) AS k FROM events) e)"""
+
+
+#: Metadata of a view event, by its position: name, condition, value.
+_META = (("status", "pos % 9 = 4", "'FAILED'"), ("status", "pos % 9 = 5", "'Error'"), ("status", "true", "'ok'"), ("dropped_constraint", "pos % 13 = 6", "'budget'"), ("violated_constraint", "pos % 17 = 3", "'no spoilers'"), ("decision_error", "pos % 19 = 8", "'  late '"), ("capture_owned", "pos % 29 = 1", "true"))
+
+
+def _meta(name: str) -> str:
+    return "case " + " ".join(f"when {when} then {then}" for n, when, then in _META if n == name) + " end"
+
+
+_KIND = "case when pos = 0 then 'run.start' when pos % 23 = 22 then 'reflection' when pos % 7 = 5 then 'llm.response' when pos % 7 = 3 then 'agent.step' else event_type end"
+_SAID = "case payload when 'k=0' then 'Nothing happens.' when 'k=1' then 'No results for this item' when 'k=2' then 'All done, the task is complete' when 'k=3' then 'JSON schema in a loop' else 'ok' end"
+_FRAMEWORK = "case cast(substr(trace_id, 2) as bigint) % 4 when 0 then 'alfworld' when 1 then 'WebShop env' else 'custom' end"
+_SCALARS = {"step_index": "case when pos % 11 < 10 then cast(floor(pos / 2) as int) end", "kind": _KIND, "text": _SAID, "framework": _FRAMEWORK, **{n: _meta(n) for n in ("status", "dropped_constraint", "violated_constraint", "decision_error", "capture_owned")}}
+
+
+def rich_runs(events: DataFrame) -> DataFrame:
+    """event_runs with two events a step, more event types, free text, a framework and VARIANT metadata."""
+    rows = event_runs(events).withColumns({n: F.expr(e) for n, e in _SCALARS.items()})
+    meta = F.parse_json(F.to_json(F.struct("capture_owned", "decision_error", "dropped_constraint", "status", "success", "violated_constraint")))
+    return rows.select("trace_id", "event_id", "pos", "step_index", "agent_name", F.col("kind").alias("event_type"), "text", "error", "framework", "duration_ms", meta.alias("metadata"))
+
+
+#: The same for the oracle, with the metadata's fields as columns.
+RICH_SQL = f"{EVT_SQL}, rich AS (SELECT trace_id, event_id, pos, agent_name, {', '.join(f'{e} AS {n}' for n, e in _SCALARS.items() if n != 'kind')}, {_KIND} AS event_type, error, success, duration_ms FROM evt)"
