@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
 from tracelake.operators import attribute, detect, evaluate, recover, scrub, windows
-from tracelake.sources import ingest
+from tracelake.sources import exports, ingest
 
 RUN = "trace_id string, event_id string, pos int, agent_name string, event_type string, payload string, error string, success boolean, duration_ms double"
 
@@ -95,21 +95,21 @@ def payload(spark, value):
 
 def test_conversation_turns_split_thought_and_action(spark):
     p = payload(spark, {"conversations": [{"from": "system", "value": "s"}, {"from": "human", "value": "an error text"}, {"role": "assistant", "content": "Thought: go\nAction: open door"}]})
-    got = [(r.pos, r.event_type, r.output) for r in ingest.conversations(p).orderBy("pos").collect()]
-    assert got == [(0, "observation", "an error text"), (1, "plan", "go"), (2, "tool.call", "open door")]
+    got = [(r.pos, r.event_type, r.output, r.error) for r in exports.conversations(p).orderBy("pos").collect()]
+    assert got == [(0, "error", "an error text", None), (1, "agent.step", "go", None), (2, "tool.call", "open door", None)]
 
 
 def test_event_list_and_spans(spark):
-    e = ingest.event_list(payload(spark, {"events": [{"type": "plan", "content": "x"}, {"event_type": "error", "step": 7, "error": "bad"}]})).orderBy("pos").collect()
+    e = exports.event_list(payload(spark, {"events": [{"type": "plan", "content": "x"}, {"event_type": "error", "step": 7, "error": "bad"}]})).orderBy("pos").collect()
     assert [(r.pos, r.event_type, r.error) for r in e] == [(0, "plan", None), (7, "error", "bad")]
-    s = ingest.spans(payload(spark, {"spans": [{"span_id": "1", "type": "FunctionSpan"}, {"span_id": "2", "parent_id": "1", "type": "generation"}]})).orderBy("pos").collect()
-    assert [(r.event_id, r.parent_event_id, r.event_type) for r in s] == [("1", None, "tool.call"), ("2", "1", "llm.response")]
+    s = exports.spans(payload(spark, {"spans": [{"span_id": "1", "type": "FunctionSpan"}, {"span_id": "2", "parent_id": "1", "type": "generation"}]})).orderBy("pos").collect()
+    assert [(r.event_id, r.parent_event_id, r.event_type) for r in s] == [("1", None, "tool.result"), ("2", "1", "llm.call")]
 
 
 def test_lines_keep_malformed_records(spark):
     t = spark.createDataFrame([('{"messages": []}',), ("{bad",), ("  ",)], "value string")
-    got = ingest.detect_format(ingest.lines(t)).select("format", "malformed").collect()
-    assert sorted((r.format, r.malformed) for r in got) == [("messages", False), ("unknown", True)]
+    got = ingest.lines(t).withColumn("format", exports.detect_format()).select("format", "malformed").collect()
+    assert sorted(((r.format, r.malformed) for r in got), key=str) == [("messages", False), (None, True)]
 
 
 def test_latest_write_wins(spark):

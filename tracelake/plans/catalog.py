@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import attribute, detect, evaluate, memory, overview, recover, scrub, windows
-from ..sources import fixtures, ingest
+from ..sources import exports, ingest
 from ..sources.fixtures import EVT_SQL, conversation_runs, event_runs, table
-from . import events, texts  # noqa: F401
+from . import events, imports, texts, views  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BUDGET = 65
@@ -243,7 +243,7 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("ingest_messages", f"SELECT trace_id, pos, event_type, lower(agent_name) AS agent_name, output FROM ({CONV_SQL})")(lambda s, d: ingest.messages(_payloads(s, d)))
-query("ingest_format_detection", "SELECT 'messages' AS format, count(DISTINCT conv_id) AS n FROM conversations")(lambda s, d: ingest.detect_format(_payloads(s, d)).groupBy("format").agg(F.count("*").alias("n")))
+query("ingest_format_detection", "SELECT 'messages' AS format, count(DISTINCT conv_id) AS n FROM conversations")(lambda s, d: _payloads(s, d).select(exports.detect_format().alias("format")).groupBy("format").agg(F.count("*").alias("n")))
 query("store_latest_event", "SELECT user_id, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS event_type FROM events GROUP BY 1")(
     lambda s, d: ingest.latest(table(s, d, "events").withColumn("o", F.struct("ts", "event_id")), "user_id", "o").select("user_id", "event_id", "event_type")
 )
