@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import attribute, detect, evaluate, memory, overview, recover, scrub, windows
 from ..sources import exports, ingest
 from ..sources.fixtures import EVT_SQL, conversation_runs, event_runs, table
-from . import events, imports, texts, views  # noqa: F401
+from . import events, imports, labels, texts, views, wires  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BUDGET = 65
