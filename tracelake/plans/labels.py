@@ -97,7 +97,7 @@ _SLUG = f"array_to_string(list_filter(regexp_extract_all(lower(mode_id), '[a-z0-
 query("taxonomy_observations", OBS + "SELECT * FROM obs")(_observed)
 query("taxonomy_clusters", OBS + f", c AS (SELECT *, {_SLUG} AS cluster FROM obs), v AS (SELECT cluster, family, count(*) AS n, min(struct_pack(a := trace_id, b := ordinal)) AS seen FROM c GROUP BY ALL) SELECT cluster, count(*) AS support, (SELECT arg_min(family, struct_pack(a := -n, b := seen)) FROM v WHERE v.cluster = c.cluster) AS family FROM c GROUP BY 1")(lambda s, d: judgement.label_clusters(_observed(s, d)))
 query("taxonomy_cluster_order", OBS + f", c AS (SELECT {_SLUG} AS cluster, count(*) AS support, min(family) AS family FROM obs GROUP BY 1) SELECT * FROM c WHERE support >= 2 ORDER BY support DESC, cluster LIMIT 12")(lambda s, d: judgement.cluster_order(judgement.label_clusters(_observed(s, d))))
-query("taxonomy_cluster_terms", OBS + f", t AS (SELECT {_SLUG} AS cluster, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})))) AS term FROM obs) SELECT cluster, term, n, cast(rank AS int) AS rank FROM (SELECT cluster, term, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, term) AS rank FROM t GROUP BY ALL) WHERE rank <= 5")(lambda s, d: judgement.cluster_terms(_observed(s, d)))
+query("taxonomy_cluster_terms", OBS + f", t AS (SELECT {_SLUG} AS cluster, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})))) AS term FROM obs) SELECT cluster, term, n, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS rank FROM (SELECT cluster, term, count(*) AS n FROM t GROUP BY ALL)) WHERE rank <= 5")(lambda s, d: judgement.cluster_terms(_observed(s, d)))
 _SEED_ROWS = [("s1", "planning", "plan repeats without progress"), ("s2", "system", "the environment raised an error"), ("s3", "memory", "loss of context")]
 query(
     "taxonomy_nearest_seed",
