@@ -62,6 +62,24 @@ def noisy_or(hypotheses: DataFrame) -> DataFrame:
     return hypotheses.groupBy("trace_id", "event_id").agg((1 - F.product(1 - p)).alias("confidence"))
 
 
+def ensemble(hypotheses: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run's winner of the fused rankings; a run without hypotheses says so instead of falling silent."""
+    best = borda(hypotheses).where("rank = 1").select("trace_id", "event_id")
+    return runs.select("trace_id").distinct().join(best, "trace_id", "left").select("trace_id", "event_id", F.when(F.col("event_id").isNull(), "no_hypotheses").otherwise("ensemble").alias("method"))
+
+
+def heuristic(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run's earliest finding as its only hypothesis, with the reason where there is none."""
+    w = Window.partitionBy("trace_id").orderBy(F.col("pos").isNull(), "pos", F.desc("confidence"), "phase", "event_id", "mode_id")
+    first = found.withColumn("r", F.row_number().over(w)).where("r = 1").select("trace_id", "event_id")
+    return runs.select("trace_id").distinct().join(first, "trace_id", "left").select("trace_id", "event_id", F.when(F.col("event_id").isNull(), "no_findings").otherwise("earliest").alias("method"))
+
+
+def rescue_rank(rows: DataFrame) -> DataFrame:
+    """Candidates by how often changing them rescues the run, then by confidence."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("rescue"), F.desc("confidence"), "event_id")))
+
+
 def actions(runs: DataFrame) -> DataFrame:
     """Tool calls as an ordered action sequence."""
     w = Window.partitionBy("trace_id").orderBy("pos")
@@ -109,6 +127,14 @@ def longest_prefix_references(runs: DataFrame, flag: DataFrame) -> DataFrame:
     return out.select(F.col("trace_id").alias("failed"), F.coalesce("best.reference", "least").alias("reference"), F.coalesce("best.length", F.lit(0)).alias("aligned"), step.alias("divergence_step"))
 
 
+def divergence_candidates(diffs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Around the step where a run leaves its reference: the steps before, at and after it that the run has."""
+    n = runs.groupBy(F.col("trace_id").alias("failed")).agg(F.count("*").alias("n"))
+    d = F.col("divergence_step")
+    near = F.filter(F.array(d - 1, d, d + 1), lambda x: (x >= 0) & (x < F.col("n")))
+    return diffs.join(n, "failed").select("failed", "reference", "aligned", "divergence_step", F.when(d.isNull(), F.lit("")).otherwise(F.array_join(near.cast("array<string>"), ",")).alias("candidates"))
+
+
 def counterfactual_candidates(runs: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     """Events to try first: findings' events, then error events, then the tail from the end; each once, k a run."""
     a = found.select("trace_id", "event_id", F.lit(0).alias("tier"), F.col("pos").alias("at"))

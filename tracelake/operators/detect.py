@@ -20,22 +20,29 @@ KEYWORD_RULES = (
     ("core.multimodal.perception_error", "multimodal.perception_error", ("ocr error", "visual mismatch", "ui element mismatch", "perception error"), 700),
 )
 STATE_TYPES = ("observation", "agent.step", "plan", "tool.result")
+# Phrases that claim success; the first of them in a text is the one reported.
+CLAIMS = (
+    "task is complete", "task complete", "task is done", "task accomplished", "completed the task", "i have completed", "i am done", "we are done",
+    "all done", "successfully completed", "no further action", "nothing left to do", "marking as complete", "is complete", "final answer",
+)
 CLAIM_TYPES = ("reflection", "observation", "llm.response", "agent.step", "plan")
 
 
 def keyword_first_match(rows: DataFrame, key: str, text: str, rules=KEYWORD_RULES) -> DataFrame:
     """At most one finding per row: the rule of least priority one of whose needles is in the lower-cased text.
 
-    One CASE in priority order: it stops at the first hit, and nothing is joined or shuffled.
+    One CASE in priority order: it stops at the first hit, and nothing is joined or shuffled. A generator
+    keeps the optimiser from copying the lower-casing and the CASE into the filter again.
     """
-    low = F.lower(F.col(text))
+    low = F.col("low")
     hit = F.lit(None).cast("struct<rule_id:string,mode_id:string,priority:int>")
     for rule_id, mode, needles, priority in sorted(rules, key=lambda r: r[3], reverse=True):
         found = F.lit(False)
         for n in needles:
             found = found | F.contains(low, F.lit(n))
         hit = F.when(found, F.struct(F.lit(rule_id).alias("rule_id"), F.lit(mode).alias("mode_id"), F.lit(priority).alias("priority"))).otherwise(hit)
-    return rows.select(key, hit.alias("hit")).where("hit is not null").select(key, "hit.*")
+    rows = rows.select(key, F.explode(F.array(F.lower(F.col(text)))).alias("low"))
+    return rows.select(key, F.inline(F.array_compact(F.array(hit))))
 
 
 def explicit_errors(runs: DataFrame) -> DataFrame:
@@ -76,23 +83,36 @@ def repeated_states(runs: DataFrame, window: int = 4, threshold: int = 3) -> Dat
     return held.where(F.size("held") == window).withColumn("most", most).where(F.col("most") >= threshold).select("trace_id", "event_id", "pos", "most")
 
 
-def premature_success(runs: DataFrame, claims: tuple[str, ...], text: str = "payload") -> DataFrame:
-    """Failed runs' last event of a claiming type whose text holds a claim; the claim is the first of the list in it."""
+def premature_success(runs: DataFrame, claims: tuple[str, ...] = CLAIMS, text: str = "payload") -> DataFrame:
+    """Failed runs' last event of a claiming type whose text holds a claim; the claim is the first of the list in it.
+
+    A run failed if an event says success = false, or if it has an error event of the agent ``system``.
+    """
     low = F.lower(F.concat_ws("\n", F.col(text), "error"))
     w = Window.partitionBy("trace_id")
-    marked = runs.withColumn("failed", F.coalesce(F.bool_or(~F.col("success")).over(w), F.lit(False))).where(F.col("failed") & F.col("event_type").isin(*CLAIM_TYPES))
+    marked = runs.withColumn("failed", F.coalesce(F.bool_or(~F.col("success") | ((F.col("event_type") == "error") & (F.col("agent_name") == "system"))).over(w), F.lit(False))).where(F.col("failed") & F.col("event_type").isin(*CLAIM_TYPES))
     hit = marked.withColumn("claim", F.try_element_at(F.filter(F.array(*map(F.lit, claims)), lambda c: F.contains(low, c)), F.lit(1))).where("claim is not null")
     by = hit.groupBy("trace_id").agg(F.max(F.struct("pos", "event_id", "claim")).alias("last"))
     return by.select("trace_id", F.col("last.event_id").alias("event_id"), F.col("last.pos").alias("pos"), F.col("last.claim").alias("claim"))
 
 
 def findings(runs: DataFrame, limit: int = 65) -> DataFrame:
-    """All findings with their order in a run: event findings first by position, then those of sequence rules."""
-    confidence = lambda a, b: (F.lit(a) + (F.col("pos") % 10) / F.lit(100.0)).alias("confidence") if b else F.lit(a).alias("confidence")
-    one = explicit_errors(runs).select("trace_id", "event_id", "pos", "mode_id", F.lit(0).alias("phase"), confidence(0.5, True))
-    two = repeated_tool_calls(runs).select("trace_id", "event_id", "pos", F.lit("planning.inefficient_plan").alias("mode_id"), F.lit(1).alias("phase"), confidence(0.7, False))
-    three = step_budget(runs, limit).select("trace_id", "event_id", "pos", F.lit("planning.inefficient_plan").alias("mode_id"), F.lit(2).alias("phase"), confidence(0.6, False))
-    return one.unionByName(two).unionByName(three)
+    """All findings with their order in a run: event findings first by position, then those of sequence rules.
+
+    One pass: the rules' counts are windows over the run's own partition, and each event gives the findings it carries.
+    """
+    run, call = Window.partitionBy("trace_id"), Window.partitionBy("trace_id", "agent_name", "signature")
+    rows = runs.withColumn("signature", F.when(F.col("event_type") == "tool.call", squeeze(F.col("payload"))))
+    rows = rows.select("trace_id", "event_id", "pos", "event_type", "error", "signature", F.count("*").over(run).alias("n"), F.max("pos").over(run).alias("last"), F.count("*").over(call).alias("same"), F.max("pos").over(call).alias("last_same"))
+    mode = F.when(F.col("event_type").isin("tool.call", "tool.result"), "system.tool_execution_error").otherwise("system.environment_error")
+    finding = lambda mode, phase, confidence: F.struct(mode.alias("mode_id"), F.lit(phase).alias("phase"), confidence.cast("double").alias("confidence"))
+    slow = F.lit("planning.inefficient_plan")
+    found = F.array(
+        F.when(F.col("error") != "", finding(mode, 0, F.lit(0.5) + (F.col("pos") % 10) / F.lit(100.0))),
+        F.when(F.col("signature").isNotNull() & (F.col("same") >= 3) & (F.col("pos") == F.col("last_same")), finding(slow, 1, F.lit(0.7))),
+        F.when((F.col("n") > limit) & (F.col("pos") == F.col("last")), finding(slow, 2, F.lit(0.6))),
+    )
+    return rows.select("trace_id", "event_id", "pos", F.inline(F.array_compact(found)))
 
 
 def select_root(found: DataFrame, policy: str = "earliest") -> DataFrame:

@@ -58,10 +58,14 @@ def priorities(summary: DataFrame) -> DataFrame:
     return summary.where("n_findings > 0").select("trace_id", score.alias("score"))
 
 
-def timeline(runs: DataFrame, points: int = 48) -> DataFrame:
-    """Every (n div points)-th event of a run and the last one, with its state."""
+def timeline(runs: DataFrame, points: int = 48, roots: DataFrame | None = None) -> DataFrame:
+    """Every (n div points)-th event of a run and the last one, with its state; ``roots(trace_id, event_id)`` are the runs' root causes."""
     w = Window.partitionBy("trace_id")
     n = F.count("*").over(w)
     rows = runs.select("trace_id", "event_id", "pos", "error", n.alias("n"))
+    root = F.lit(False)
+    if roots is not None:
+        rows = rows.join(roots.select("trace_id", F.col("event_id").alias("root_id")), "trace_id", "left")
+        root = F.col("event_id") == F.col("root_id")
     every = F.greatest(F.lit(1), F.expr(f"n div {points}"))
-    return rows.where((F.col("pos") % every == 0) | (F.col("pos") == F.col("n") - 1)).select("trace_id", "event_id", "pos", F.when(F.col("error").isNotNull(), "error").otherwise("ok").alias("state"))
+    return rows.where((F.col("pos") % every == 0) | (F.col("pos") == F.col("n") - 1)).select("trace_id", "event_id", "pos", F.when(root, "root").when(F.col("error").isNotNull(), "error").otherwise("ok").alias("state"))

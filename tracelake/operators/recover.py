@@ -21,13 +21,14 @@ def tool_pairs(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("trace_id", "agent_name").orderBy("pos")
     rows = runs.where(F.col("event_type").isin("tool.call", "tool.result"))
     rows = rows.select("trace_id", "agent_name", "event_type", "event_id", "pos", "error", F.lag("event_type").over(w).alias("before"), F.lag("event_id").over(w).alias("call_id"), F.lag("pos").over(w).alias("call_pos"), F.lag("payload").over(w).alias("call"))
-    return rows.where("event_type = 'tool.result' and before = 'tool.call'").select("trace_id", "agent_name", "call_id", "call_pos", "call", F.col("event_id").alias("result_id"), F.col("pos").alias("result_pos"))
+    return rows.where("event_type = 'tool.result' and before = 'tool.call'").select("trace_id", "agent_name", "call_id", "call_pos", "call", F.col("event_id").alias("result_id"), F.col("pos").alias("result_pos"), "error")
 
 
 def saga_order(pairs: DataFrame, compensable: tuple[str, ...]) -> DataFrame:
-    """Compensable calls in the order they are to be undone: last first."""
-    w = Window.partitionBy("trace_id").orderBy(F.desc("call_pos"))
-    return pairs.where(F.col("call").isin(*compensable)).select("trace_id", "call_id", "call", F.row_number().over(w).alias("undo"))
+    """Calls of compensable tools whose result has no error, in the order they are to be undone: last result first."""
+    w = Window.partitionBy("trace_id").orderBy(F.desc("result_pos"))
+    undone = pairs.where(F.col("agent_name").isin(*compensable) & (F.coalesce("error", F.lit("")) == ""))
+    return undone.select("trace_id", "call_id", "call", F.row_number().over(w).alias("undo"))
 
 
 def verifiers(found: DataFrame, specs=VERIFIERS) -> DataFrame:

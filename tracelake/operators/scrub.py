@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Name, pattern, replacement, in this order (an earlier rule can swallow a later one's match).
@@ -21,11 +21,40 @@ REDACTIONS = (
     ("credit_card", r"\b(?:\d[ -]?){13,19}\b", "<redacted:cc>"),
     ("url_credentials", r"(https?://)[^\s/@]+:[^\s/@]+@", "$1<redacted:url_credentials>@"),
 )
+#: What a text must hold for a rule to have a match; the pattern runs on no other text.
+LITERALS = {"openai_key": "sk-", "anthropic_key": "sk-ant-", "aws_key": "AKIA", "google_api_key": "AIza", "gh_token": "_", "pypi_token": "pypi-", "email": "@", "phone_e164": "+", "ssn_us": "-", "url_credentials": "://"}
 
 
 def scrub(rows: DataFrame, key: str, text: str, rules=REDACTIONS) -> DataFrame:
-    """Scrubbed text and replacements per rule."""
+    """Scrubbed text and replacements per rule. ``\\d``, ``\\w``, ``\\s`` and ``\\b`` mean all of Unicode's.
+
+    A rule counts only where its literal occurs, and rewrites only where it counted.
+    """
     out = rows.select(F.col(key), F.col(text).alias("text"))
     for name, pattern, replacement in rules:
-        out = out.withColumn(name, F.regexp_count("text", F.lit(pattern))).withColumn("text", F.regexp_replace("text", pattern, replacement))
+        pattern = "(?U)" + pattern
+        count = F.regexp_count("text", F.lit(pattern))
+        if name in LITERALS:
+            count = F.when(F.contains("text", F.lit(LITERALS[name])) | F.col("text").isNull(), count).otherwise(0)
+        out = out.withColumn(name, count).withColumn("text", F.when(F.col(name) > 0, F.regexp_replace("text", pattern, replacement)).otherwise(F.col("text")))
     return out
+
+
+def scrub_text(text: Column, rules=REDACTIONS) -> Column:
+    for _, pattern, replacement in rules:
+        text = F.regexp_replace(text, "(?U)" + pattern, replacement)
+    return text
+
+
+def scrub_fields(fields: Column, rules=REDACTIONS) -> Column:
+    """The same for the values of a map, nested JSON text included as it stands; keys stay."""
+    return F.transform_values(fields, lambda _, v: scrub_text(v, rules))
+
+
+def totals(scrubbed: DataFrame, rules=REDACTIONS) -> DataFrame:
+    """Replacements per rule over all rows, and rows that had any."""
+    counts = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n, _, _ in rules]
+    some = F.lit(False)
+    for n, _, _ in rules:
+        some = some | (F.coalesce(n, F.lit(0)) > 0)
+    return scrubbed.agg(*counts, F.count_if(some).alias("rows_touched"))

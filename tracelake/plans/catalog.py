@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import attribute, detect, evaluate, memory, overview, recover, scrub, windows
+from ..operators import attribute, detect, evaluate, memory, overview, recover, rules, scrub, windows
 from ..sources import exports, ingest
 from ..sources.fixtures import EVT_SQL, conversation_runs, event_runs, table
 from . import events, imports, labels, texts, views, wires  # noqa: F401
@@ -24,6 +24,7 @@ found AS (SELECT trace_id, event_id, pos, CASE WHEN event_type IN ('tool.call','
 SUMMARY_SQL = """summary AS (SELECT e.*, coalesce(f.n_findings, 0) AS n_findings, f.first_pos FROM
  (SELECT trace_id, count(*) AS n_events, count(error) AS n_errors, sum(cast(trunc(duration_ms) AS bigint)) AS total_ms FROM evt GROUP BY 1) e
  LEFT JOIN (SELECT trace_id, count(*) AS n_findings, min(pos) AS first_pos FROM found GROUP BY 1) f USING (trace_id))"""
+W_RICH = events.W
 W_EVT, W_FOUND = f"WITH {EVT_SQL} ", f"WITH {EVT_SQL}, {FINDINGS_SQL} "
 W_SUM = f"WITH {EVT_SQL}, {FINDINGS_SQL}, {SUMMARY_SQL} "
 #: Label pairs: quality against toxic, as tags; steps from the ids, so that every metric has work to do.
@@ -77,6 +78,9 @@ query(
     "detect_premature_success",
     f"WITH {EVT_SQL}, {FAILED_SQL}, c AS (SELECT e.*, CASE WHEN contains(payload,'k=4') THEN 'k=4' WHEN contains(payload,'k=1') THEN 'k=1' END AS claim FROM evt e JOIN failed USING (trace_id) WHERE failed AND event_type IN ('reflection','observation','llm.response','agent.step','plan')) SELECT trace_id, arg_max(event_id,pos) AS event_id, max(pos) AS pos, arg_max(claim,pos) AS claim FROM c WHERE claim IS NOT NULL GROUP BY 1",
 )(lambda s, d: detect.premature_success(_runs(s, d), ("k=4", "k=1")))
+query("detect_premature_claims", W_RICH + ", f AS (SELECT trace_id, coalesce(bool_or(NOT success OR (event_type = 'error' AND agent_name = 'system')), false) AS failed FROM rich GROUP BY 1), c AS (SELECT trace_id, event_id, pos FROM rich JOIN f USING (trace_id) WHERE failed AND event_type IN ('reflection', 'observation', 'llm.response', 'agent.step', 'plan') AND text LIKE '%the task is complete%') SELECT trace_id, arg_max(event_id, pos) AS event_id, max(pos) AS pos, 'task is complete' AS claim FROM c GROUP BY 1")(
+    lambda s, d: detect.premature_success(events.rich(s, d).withColumn("success", rules.field("success", "boolean")), text="text")
+)
 query("detect_findings", W_FOUND + "SELECT * FROM found")(_found)
 for _policy, _order in (("earliest", "pos, confidence DESC"), ("confident", "confidence DESC, pos")):
     query(f"diagnose_root_{_policy}", W_FOUND + f"SELECT trace_id, event_id, pos, mode_id, phase, confidence FROM found QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY {_order}, phase, event_id, mode_id) = 1")(lambda s, d, p=_policy: detect.select_root(_found(s, d), p))
@@ -100,59 +104,49 @@ query(
 )(lambda s, d: attribute.spectrum_top(_runs(s, d)).withColumn("score", F.round("score", 9)))
 
 
-def _hypotheses(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Two methods' ranked findings per run. whole: all of them, ranked from 0 as in the reference, so that the
-    first of n has n Borda points and the last 1; otherwise the first four a method, ranked from 1, as attribute_borda's SQL has it."""
+def _hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods' rankings of all findings of a run, from 0, so that the first of n has n Borda points and the last 1."""
     found = _found(spark, sf_dir)
     out = []
     for method, weight, order in (("early", 1.0, [F.col("pos")]), ("sure", 0.5, [F.desc("confidence")])):
         w = Window.partitionBy("trace_id")
-        ranked = found.withColumn("rank", F.row_number().over(w.orderBy(*order, "phase", "event_id", "mode_id"))).withColumn("n", F.count("*").over(w))
-        ranked = ranked.withColumn("rank", F.col("rank") - 1) if whole else ranked.where("rank <= 4")
+        ranked = found.withColumn("rank", F.row_number().over(w.orderBy(*order, "phase", "event_id", "mode_id")) - 1).withColumn("n", F.count("*").over(w))
         out.append(ranked.select("trace_id", "event_id", F.lit(method).alias("method"), "rank", "n", F.lit(weight).alias("weight"), "confidence"))
     return out[0].unionByName(out[1])
 
 
-HYP_SQL = W_FOUND + ", hyp AS (" + " UNION ALL ".join(
-    f"SELECT trace_id, event_id, '{m}' AS method, row_number() OVER (PARTITION BY trace_id ORDER BY {o}, phase, event_id, mode_id) AS rank, count(*) OVER (PARTITION BY trace_id) AS n, {w}::DOUBLE AS weight, confidence FROM found QUALIFY rank <= 4" for m, w, o in (("early", 1.0, "pos"), ("sure", 0.5, "confidence DESC"))
-) + ")"
-query("attribute_borda", HYP_SQL + ", b AS (SELECT trace_id, event_id, sum((n-rank)*weight) AS points, sum(weight*confidence) AS mass, sum(weight) AS ws FROM hyp GROUP BY ALL) SELECT trace_id, event_id, round(points,6) AS points, round(least(1, mass/ws),6) AS confidence FROM b")(
-    lambda s, d: attribute.borda(_hypotheses(s, d)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
-)
-query("attribute_noisy_or", HYP_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(lambda s, d: attribute.noisy_or(_hypotheses(s, d)).withColumn("confidence", F.round("confidence", 6)))
-# the same fusion of every finding; the two above keep four a run and method
 ALL_SQL = W_FOUND + ", early AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos, phase, event_id, mode_id) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM found), sure AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, phase, event_id, mode_id) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM found), hyp AS (SELECT trace_id, event_id, n - r + 1 AS place, 1.0::DOUBLE AS weight, confidence FROM early UNION ALL SELECT trace_id, event_id, n - r + 1, 0.5::DOUBLE, confidence FROM sure)"
-query("attribute_borda_all", ALL_SQL + " SELECT trace_id, event_id, round(sum(place*weight),6) AS points, round(least(1, sum(weight*confidence)/sum(weight)),6) AS confidence FROM hyp GROUP BY ALL")(
-    lambda s, d: attribute.borda(_hypotheses(s, d, whole=True)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
+for _name in ("attribute_borda", "attribute_borda_all"):
+    query(_name, ALL_SQL + " SELECT trace_id, event_id, round(sum(place*weight),6) AS points, round(least(1, sum(weight*confidence)/sum(weight)),6) AS confidence FROM hyp GROUP BY ALL")(
+        lambda s, d: attribute.borda(_hypotheses(s, d)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
+    )
+for _name in ("attribute_noisy_or", "attribute_noisy_or_all"):
+    query(_name, ALL_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(lambda s, d: attribute.noisy_or(_hypotheses(s, d)).withColumn("confidence", F.round("confidence", 6)))
+query("attribute_ensemble", ALL_SQL + ", b AS (SELECT trace_id, event_id, sum(place*weight) AS points, sum(weight*confidence) AS mass FROM hyp GROUP BY ALL) SELECT trace_id, event_id, 'ensemble' AS method FROM b QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY points DESC, mass DESC, event_id) = 1 UNION ALL SELECT trace_id, NULL, 'no_hypotheses' FROM (SELECT DISTINCT trace_id FROM evt) WHERE trace_id NOT IN (SELECT trace_id FROM found)")(
+    lambda s, d: attribute.ensemble(_hypotheses(s, d), _runs(s, d))
+)
+query("attribute_heuristic", W_FOUND + "SELECT trace_id, f.event_id, CASE WHEN f.event_id IS NULL THEN 'no_findings' ELSE 'earliest' END AS method FROM (SELECT DISTINCT trace_id FROM evt) LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY pos, confidence DESC, phase, event_id, mode_id) = 1) f USING (trace_id)")(
+    lambda s, d: attribute.heuristic(_found(s, d), _runs(s, d))
 )
-query("attribute_noisy_or_all", ALL_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(
-    lambda s, d: attribute.noisy_or(_hypotheses(s, d, whole=True)).withColumn("confidence", F.round("confidence", 6))
+query("attribute_counterfactual_rank", W_FOUND + ", r AS (SELECT trace_id, event_id, max(confidence) AS confidence, cast(substr(event_id, -1) AS int) % 3 / 2.0::DOUBLE AS rescue FROM found GROUP BY ALL) SELECT trace_id, event_id, cast(row_number() OVER (PARTITION BY trace_id ORDER BY rescue DESC, confidence DESC, event_id) AS int) AS rank FROM r")(
+    lambda s, d: attribute.rescue_rank(_found(s, d).groupBy("trace_id", "event_id").agg(F.max("confidence").alias("confidence")).withColumn("rescue", F.right("event_id", F.lit(1)).cast("int") % 3 / 2.0)).select("trace_id", "event_id", "rank")
 )
 
 
-def _reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each failed run against the five passing runs of least id, as DIFF_SQL has it; attribute_best_reference_all searches all passing runs."""
-    flag = detect.failed_runs(_runs(spark, sf_dir))
-    passing = flag.where("not failed").orderBy("trace_id").limit(5)
-    return flag.where("failed").select(F.col("trace_id").alias("failed")).crossJoin(F.broadcast(passing.select(F.col("trace_id").alias("reference"))))  # five rows
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    return attribute.longest_prefix_references(runs, detect.failed_runs(runs).select("trace_id", "failed"))
 
 
 DIFF_SQL = f"""WITH {EVT_SQL}, {FAILED_SQL}, act AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS ord, pos, concat_ws(':', agent_name, payload) AS action FROM evt WHERE event_type='tool.call'),
-ref AS (SELECT trace_id AS reference FROM failed WHERE NOT failed ORDER BY 1 LIMIT 5),
-prs AS (SELECT f.trace_id AS failed, reference FROM failed f, ref WHERE f.failed),
-b AS (SELECT p.failed, p.reference, l.ord, l.pos, (r.action IS NULL OR r.action <> l.action) AS apart FROM prs p JOIN act l ON l.trace_id = p.failed LEFT JOIN act r ON r.trace_id = p.reference AND r.ord = l.ord),
-diffs AS (SELECT failed, reference, cast(coalesce(min(ord) FILTER (apart), count(*)) AS int) AS aligned, min(pos) FILTER (apart) AS divergence_step FROM b GROUP BY ALL)"""
-query("attribute_prefix_divergence", DIFF_SQL + " SELECT * FROM diffs")(lambda s, d: attribute.diff_against(_runs(s, d), _reference_pairs(s, d)).select("failed", "reference", "aligned", "divergence_step"))
-query("attribute_best_reference", DIFF_SQL + " SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY failed ORDER BY aligned DESC, reference) = 1")(lambda s, d: attribute.best_reference(attribute.diff_against(_runs(s, d), _reference_pairs(s, d))).select("failed", "reference", "aligned", "divergence_step"))
-# the whole search: every passing run is a candidate, and a failed run without tool calls has a row too
-query(
-    "attribute_best_reference_all",
-    f"""WITH {EVT_SQL}, {FAILED_SQL}, act AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS ord, pos, concat_ws(':', agent_name, payload) AS action FROM evt WHERE event_type='tool.call'),
 prs AS (SELECT f.trace_id AS failed, r.trace_id AS reference FROM failed f, failed r WHERE f.failed AND NOT r.failed),
 b AS (SELECT p.failed, p.reference, l.ord, l.pos, l.ord IS NOT NULL AND (r.action IS NULL OR r.action <> l.action) AS apart FROM prs p LEFT JOIN act l ON l.trace_id = p.failed LEFT JOIN act r ON r.trace_id = p.reference AND r.ord = l.ord),
-diffs AS (SELECT failed, reference, cast(coalesce(min(ord) FILTER (apart), count(ord)) AS int) AS aligned, min(pos) FILTER (apart) AS divergence_step FROM b GROUP BY failed, reference)
-SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY failed ORDER BY aligned DESC, reference) = 1""",
-)(lambda s, d: attribute.longest_prefix_references(_runs(s, d), detect.failed_runs(_runs(s, d)).select("trace_id", "failed")))
+diffs AS (SELECT failed, reference, cast(coalesce(min(ord) FILTER (apart), count(ord)) AS int) AS aligned, min(pos) FILTER (apart) AS divergence_step FROM b GROUP BY failed, reference),
+best AS (SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY failed ORDER BY aligned DESC, reference) = 1)"""
+# every passing run is a candidate, and a failed run without tool calls has a row too
+for _name in ("attribute_best_reference", "attribute_best_reference_all"):
+    query(_name, DIFF_SQL + " SELECT * FROM best")(_references)
+query("attribute_prefix_divergence", DIFF_SQL + " SELECT failed, reference, aligned, divergence_step, CASE WHEN divergence_step IS NULL THEN '' ELSE array_to_string(list_filter([divergence_step - 1, divergence_step, divergence_step + 1], lambda x: x >= 0 AND x < n), ',') END AS candidates FROM best JOIN (SELECT trace_id, count(*) AS n FROM evt GROUP BY 1) z ON z.trace_id = failed")(lambda s, d: attribute.divergence_candidates(_references(s, d), _runs(s, d)))
 query(
     "attribute_counterfactual_candidates",
     W_FOUND + ", c AS (SELECT trace_id, event_id, min(struct_pack(tier := tier, place := place)) AS o FROM (SELECT trace_id, event_id, 0 AS tier, pos AS place FROM found UNION ALL SELECT trace_id, event_id, 1, pos FROM evt WHERE error <> '' UNION ALL SELECT trace_id, event_id, 2, -pos FROM evt) GROUP BY ALL) SELECT trace_id, event_id, o.tier AS tier, cast(row_number() OVER (PARTITION BY trace_id ORDER BY o, event_id) AS int) AS rank FROM c QUALIFY rank <= 5",
@@ -169,6 +163,7 @@ query("overview_failure_stage", W_SUM + "SELECT CASE WHEN first_pos IS NULL THEN
 query("overview_step_histogram", W_SUM + "SELECT CASE WHEN first_pos <= 5 THEN '1-5' WHEN first_pos <= 15 THEN '6-15' WHEN first_pos <= 30 THEN '16-30' ELSE '31+' END AS bucket, count(*) AS n FROM summary WHERE first_pos IS NOT NULL GROUP BY 1")(lambda s, d: overview.step_histogram(_summary(s, d)))
 query("overview_step_distribution", W_SUM + ", b AS (SELECT first_pos AS step, count(*) AS n FROM summary WHERE first_pos >= 1 GROUP BY 1) SELECT cast(s.step AS int) AS step, coalesce(b.n, 0) AS n FROM (SELECT unnest(range(1, (SELECT max(step) FROM b) + 1)) AS step) s LEFT JOIN b USING (step)")(lambda s, d: overview.step_distribution(_summary(s, d)))
 query("overview_priorities", W_SUM + "SELECT trace_id, n_findings * 10 + greatest(0, 20 - coalesce(nullif(first_pos, 0), n_events)) + 5 AS score FROM summary WHERE n_findings > 0")(lambda s, d: overview.priorities(_summary(s, d)))
+query("overview_timeline_roots", W_FOUND + ", root AS (SELECT trace_id, event_id AS root_id FROM found QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY pos, confidence DESC, phase, event_id, mode_id) = 1) SELECT trace_id, event_id, pos, CASE WHEN event_id = root_id THEN 'root' WHEN error IS NOT NULL THEN 'error' ELSE 'ok' END AS state FROM (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n FROM evt) LEFT JOIN root USING (trace_id) WHERE pos % greatest(1, n // 48) = 0 OR pos = n - 1")(lambda s, d: overview.timeline(_runs(s, d), roots=detect.select_root(_found(s, d))))
 query("overview_timeline", W_EVT + "SELECT trace_id, event_id, pos, CASE WHEN error IS NOT NULL THEN 'error' ELSE 'ok' END AS state FROM (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n FROM evt) WHERE pos % greatest(1, n // 48) = 0 OR pos = n - 1")(lambda s, d: overview.timeline(_runs(s, d)))
 
 # --- evaluation
@@ -187,8 +182,10 @@ query("eval_nmi", JOINT_SQL + ", m AS (SELECT sum(n/total*ln((n/total)/((h/total
 
 TOOL_PAIRS_SQL = W_EVT + """, tp AS (SELECT trace_id, agent_name, call_id, call_pos, call, event_id AS result_id, pos AS result_pos FROM (SELECT *, lag(event_type) OVER w AS b, lag(event_id) OVER w AS call_id, lag(pos) OVER w AS call_pos, lag(payload) OVER w AS call
  FROM evt WHERE event_type IN ('tool.call','tool.result') WINDOW w AS (PARTITION BY trace_id, agent_name ORDER BY pos)) WHERE event_type='tool.result' AND b='tool.call')"""
-query("recover_tool_pairs", TOOL_PAIRS_SQL + " SELECT * FROM tp")(lambda s, d: recover.tool_pairs(_runs(s, d)))
-query("recover_saga_order", TOOL_PAIRS_SQL + " SELECT trace_id, call_id, call, cast(row_number() OVER (PARTITION BY trace_id ORDER BY call_pos DESC) AS int) AS undo FROM tp WHERE call IN ('k=1','k=3')")(lambda s, d: recover.saga_order(recover.tool_pairs(_runs(s, d)), ("k=1", "k=3")))
+query("recover_tool_pairs", TOOL_PAIRS_SQL + " SELECT * FROM tp")(lambda s, d: recover.tool_pairs(_runs(s, d)).drop("error"))
+query("recover_saga_order", TOOL_PAIRS_SQL + " SELECT trace_id, call_id, call, cast(row_number() OVER (PARTITION BY trace_id ORDER BY result_pos DESC) AS int) AS undo FROM tp WHERE agent_name IN ('agent_0', 'agent_2') AND result_pos % 3 > 0")(
+    lambda s, d: recover.saga_order(recover.tool_pairs(_runs(s, d).withColumn("error", F.when((F.col("event_type") == "tool.result") & (F.col("pos") % 3 == 0), "late").otherwise(F.col("error")))), ("agent_0", "agent_2"))
+)
 query("recover_verifiers", W_FOUND + "SELECT DISTINCT trace_id, event_id, CASE WHEN mode_id LIKE 'planning.%' THEN 'plan_progress_guard' ELSE 'tool_retry_guard' END AS verifier FROM found")(lambda s, d: recover.verifiers(_found(s, d)))
 query("rerun_compare_branches", W_EVT + "SELECT trace_id, errors_before, errors_after, CASE WHEN errors_after < errors_before THEN 'improved' WHEN errors_after > errors_before THEN 'worse' ELSE 'unchanged' END AS verdict FROM (SELECT trace_id, count(*) FILTER (coalesce(error,'')<>'' AND pos%2=0) AS errors_before, count(*) FILTER (coalesce(error,'')<>'' AND pos%2=1) AS errors_after FROM evt GROUP BY 1 HAVING count(*) FILTER (pos%2=1) > 0)")(
     lambda s, d: recover.compare_branches(_runs(s, d).where("pos % 2 = 0"), _runs(s, d).where("pos % 2 = 1"))

@@ -15,9 +15,10 @@ def event_runs(events: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int")
     error = F.col("event_type") == "error"
     kind = F.when(F.col("event_type") == "click", "tool.call").when(F.col("event_type") == "purchase", "tool.result").when(F.col("event_type") == "view", "observation").when(F.col("event_type") == "signup", "plan").otherwise("error")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("trace_id"),
+    # partitioned by trace_id itself, so that what follows per run needs no exchange of its own
+    w = Window.partitionBy("trace_id").orderBy("ts", "event_id")
+    return events.withColumn("trace_id", F.concat(F.lit("u"), F.col("user_id").cast("string"))).select(
+        "trace_id",
         F.col("event_id").cast("string").alias("event_id"),
         (F.row_number().over(w) - 1).alias("pos"),
         F.concat(F.lit("agent_"), (k % 3).cast("string")).alias("agent_name"),
