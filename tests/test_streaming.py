@@ -27,11 +27,16 @@ def test_newest_snapshot_and_replay(spark, tmp_path):
     q = notices(spark, tmp_path, ROWS).writeStream.foreachBatch(capture.upsert_into(out)).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    last = spark.read.parquet(f"{out}/v2").collect()
+    last = capture.state(spark, out).collect()
     assert [(r.receipt_id, r.n_bytes) for r in last] == [("r2", 30)]
     batch = spark.createDataFrame([("r3", "h", "s", 20)], "receipt_id string, host string, session_id string, n_bytes long")
     capture.upsert_into(out)(batch, 2)  # the same epoch again
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/v2").collect()] == [tuple(r) for r in last]
+    assert [tuple(r) for r in capture.state(spark, out).collect()] == [tuple(r) for r in last] and last[0].notices == 5
+    other = spark.createDataFrame([("r9", "h", f"s{i}", 5) for i in range(40)], "receipt_id string, host string, session_id string, n_bytes long")
+    capture.upsert_into(out)(other, 3)
+    assert capture.state(spark, out).count() == 41
+    capture.upsert_into(out)(batch, 4)
+    assert len([p for p in (tmp_path / "state").glob("epoch=*/part=*") if list(p.glob("*.parquet"))]) <= 2 * capture.PARTS
 
 
 def test_batch_sessions_agree(spark):
