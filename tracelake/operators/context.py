@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import trace as X
+from ..sources.staging import cut
 
 
 def _run():
@@ -68,19 +69,20 @@ def merged_summaries(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     return runs.select("trace_id", "event_id", "step_index").join(last, ["trace_id", "step_index"], "left")
 
 
-def nearest_kept(parents: DataFrame, depth: int = 64) -> DataFrame:
+def nearest_kept(parents: DataFrame, depth: int = 1 << 20) -> DataFrame:
     """``(trace_id, event_id, parent_id, kept)`` to the nearest kept ancestor, null where there is none or the chain turns in a circle.
 
-    Pointer jumping over excluded parents: a pass doubles the hops, so a chain of 2^p is done in p passes.
+    Pointer jumping over excluded parents: a pass doubles the hops, so a chain of 2^p is done in p passes, and passes
+    end when every kept event has its ancestor.
     """
     keep = parents.where("kept").select("trace_id", F.col("event_id").alias("parent_id"), F.lit(True).alias("good"))
     out = parents.join(keep, ["trace_id", "parent_id"], "left").select("trace_id", "event_id", "kept", "parent_id", F.coalesce("good", F.col("parent_id").isNull()).alias("done"))
-    hops = 1
-    while hops < depth:
+    out, hops = cut(out), 1
+    while hops < depth and not out.where("kept and not done").isEmpty():
         up = out.where("not kept").select("trace_id", F.col("event_id").alias("parent_id"), F.col("parent_id").alias("next"), F.col("done").alias("next_done"), F.lit(True).alias("seen"))
         joined = out.join(up, ["trace_id", "parent_id"], "left")
         go = ~F.col("done") & F.col("seen").isNotNull()
-        out = joined.select("trace_id", "event_id", "kept", F.when(go, F.col("next")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(go, F.col("next_done")).otherwise(F.col("done")).alias("done"))
+        out = cut(joined.select("trace_id", "event_id", "kept", F.when(go, F.col("next")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(go, F.col("next_done")).otherwise(F.col("done")).alias("done")))
         hops *= 2
     return out.where("kept").select("trace_id", "event_id", F.when(F.col("done"), F.col("parent_id")).alias("kept_parent"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import trace as X
+from ..sources.staging import cut
 
 ABSTAIN = ("malformed_response", "unparsed", "unknown_mode", "insufficient_evidence")
 
@@ -104,20 +105,21 @@ def classification(answer: Column, families: dict[str, str]) -> Column:
     return F.struct(reason.alias("abstain_reason"), F.when(reason.isNull(), mode).alias("mode_id"), F.when(reason.isNull(), family).alias("family"), confidence.alias("confidence"))
 
 
-def cascade(findings: DataFrame, depth: int = 64) -> DataFrame:
+def cascade(findings: DataFrame, depth: int = 4096) -> DataFrame:
     """``(trace_id, event_id, parent_id, step)`` in depth-first order from the roots, children by step: ``place`` and ``depth``.
 
-    A pass doubles the hops to an ancestor and joins the paths, so a chain of 2^p takes p passes; what never
-    reaches a root (a circle, or a parent that isn't there) comes last, by step.
+    A pass doubles the hops to an ancestor and joins the paths, so a chain of 2^p takes p passes, and there are
+    no more passes than the longest chain needs; what reaches no root within ``depth`` hops (a circle, or a parent
+    that isn't there) comes last, by step.
     """
     own = F.concat(F.lpad(F.coalesce(F.col("step").cast("string"), F.lit("999999999")), 9, "0"), F.lit(":"), "event_id")
     known = findings.select("trace_id", F.col("event_id").alias("parent_id"), F.lit(True).alias("there")).distinct()
     rows = findings.join(known, ["trace_id", "parent_id"], "left")
     rows = rows.select("trace_id", "event_id", "step", F.when(F.col("there"), F.col("parent_id")).alias("up"), (F.col("parent_id").isNotNull() & F.col("there").isNull()).alias("lost"), own.alias("path"), F.lit(0).alias("depth"))
-    hops = 1
-    while hops < depth:
+    rows, hops = cut(rows), 1
+    while hops < depth and not rows.where("up is not null").isEmpty():
         above = rows.select("trace_id", F.col("event_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("depth").alias("more"))
-        rows = rows.join(above, ["trace_id", "up"], "left").select("trace_id", "event_id", "step", F.col("next").alias("up"), "lost", F.concat_ws("/", "above", "path").alias("path"), F.when(F.col("above").isNotNull(), F.col("depth") + F.col("more") + 1).otherwise(F.col("depth")).alias("depth"))
+        rows = cut(rows.join(above, ["trace_id", "up"], "left").select("trace_id", "event_id", "step", F.col("next").alias("up"), "lost", F.concat_ws("/", "above", "path").alias("path"), F.when(F.col("above").isNotNull(), F.col("depth") + F.col("more") + 1).otherwise(F.col("depth")).alias("depth")))
         hops *= 2
     loose = F.col("lost") | F.col("up").isNotNull()
     order = F.row_number().over(Window.partitionBy("trace_id").orderBy(loose, F.when(~loose, F.col("path")), F.col("step").isNull(), "step", "event_id")) - 1

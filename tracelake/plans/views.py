@@ -90,8 +90,8 @@ _N = "coalesce(step_index::VARCHAR, 'None')"
 query("advice_retry_hints", ADV + f"SELECT finding_id, concat('Task: ', goal, chr(10), 'Framework: f', chr(10), 'Observed failure mode: ', mode_id, ' (', upper(mode_id), ')', chr(10), 'Located at agent=', agent_name, ', step=', {_N}, ', event_id=', event_id, chr(10), 'Evidence:', chr(10), ev, chr(10), 'Next time, do the following:', chr(10), '  ', coalesce(suggestion, template, 'Inspect the offending step and constrain the agent at that point.'), chr(10)) AS text, least(0.9, greatest(0.1, coalesce(confidence, 0)))::DOUBLE AS confidence FROM a")(lambda s, d: advice.retry_hints(advised(rich(s, d))))
 query("advice_root_directive", ADV + f"SELECT trace_id, finding_id, concat('Task: ', goal, chr(10), 'Root cause: step ', {_N}, ', agent ', agent_name, chr(10), 'Evidence:', chr(10), ev, chr(10), 'Fix for the retry:', chr(10), '  ', coalesce(suggestion, 'Re-attempt the step with the diagnosed mistake corrected.'), chr(10)) AS text, least(0.95, greatest(0.2, coalesce(confidence, 0)))::DOUBLE AS confidence FROM a QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(step_index = 7, false) DESC, ordinal) = 1")(lambda s, d: advice.root_directive(advised(rich(s, d))))
 query("advice_manual_rules", ADV + "SELECT finding_id, coalesce(suggestion, template) AS rule, least(0.9, greatest(0.4, coalesce(confidence, 0)))::DOUBLE AS confidence FROM a WHERE suggestion IS NOT NULL OR (template IS NOT NULL AND NOT contains('be quick, slow down.', lower(template)))")(lambda s, d: advice.manual_rules(advised(rich(s, d)), "Be quick, SLOW down."))
-query("advice_suggestions", ADV + "SELECT trace_id, list(suggestion ORDER BY first) AS suggestions FROM (SELECT trace_id, suggestion, min(ordinal) AS first FROM a WHERE suggestion IS NOT NULL GROUP BY ALL) GROUP BY 1")(lambda s, d: advice.distinct_suggestions(advised(rich(s, d))))
-query("advice_report_modes", ADV + "SELECT trace_id, m.modes AS modes, f.families AS families FROM (SELECT trace_id, list(mode_id ORDER BY first) AS modes FROM (SELECT trace_id, mode_id, min(ordinal) AS first FROM a GROUP BY ALL) GROUP BY 1) m JOIN (SELECT trace_id, list(family ORDER BY first) AS families FROM (SELECT trace_id, split_part(mode_id, '.', 1) AS family, min(ordinal) AS first FROM a GROUP BY ALL) GROUP BY 1) f USING (trace_id)")(lambda s, d: advice.report_modes(advised(rich(s, d))))
+query("advice_suggestions", ADV + "SELECT trace_id, string_agg(suggestion, ' | ' ORDER BY first) AS suggestions FROM (SELECT trace_id, suggestion, min(ordinal) AS first FROM a WHERE suggestion IS NOT NULL GROUP BY ALL) GROUP BY 1")(lambda s, d: advice.distinct_suggestions(advised(rich(s, d))).select("trace_id", F.array_join("suggestions", " | ").alias("suggestions")))
+query("advice_report_modes", ADV + "SELECT trace_id, m.modes AS modes, f.families AS families FROM (SELECT trace_id, string_agg(mode_id, ',' ORDER BY first) AS modes FROM (SELECT trace_id, mode_id, min(ordinal) AS first FROM a GROUP BY ALL) GROUP BY 1) m JOIN (SELECT trace_id, string_agg(family, ',' ORDER BY first) AS families FROM (SELECT trace_id, split_part(mode_id, '.', 1) AS family, min(ordinal) AS first FROM a GROUP BY ALL) GROUP BY 1) f USING (trace_id)")(lambda s, d: advice.report_modes(advised(rich(s, d))).select("trace_id", F.array_join("modes", ",").alias("modes"), F.array_join("families", ",").alias("families")))
 query("advice_manifest", WF + "SELECT r.trace_id, any_value(framework) AS framework, concat('solve ', r.trace_id) AS goal, count(*) AS n_events, count(DISTINCT agent_name) AS n_agents, coalesce((SELECT count(*) FROM fnd WHERE fnd.trace_id = r.trace_id), 0) AS n_findings FROM rich r GROUP BY r.trace_id")(lambda s, d: (lambda r: advice.manifest(r, findings(r)))(rich(s, d)))
 query("advice_otel_spans", W + "SELECT trace_id, event_id AS span_id, concat(trace_id, ':root') AS parent_id, event_type AS name, CASE WHEN coalesce(error, '') <> '' THEN 'ERROR' ELSE 'OK' END AS status, round(duration_ms, 6) AS duration_ms FROM rich UNION ALL SELECT trace_id, concat(trace_id, ':root'), NULL, 'agent.run', 'OK', round(sum(duration_ms), 6) FROM rich GROUP BY 1")(lambda s, d: advice.otel_spans(rich(s, d)))
 query("advice_actor_tasks", ADV + """SELECT concat('task-', finding_id) AS task_id, trace_id, event_id, concat('{', CASE WHEN step_index IS NOT NULL THEN concat('"step_index":', step_index, ',') ELSE '' END, '"agent_name":"', agent_name, '"}') AS target, concat('{"mode_id":"', mode_id, '","fix":"', coalesce(suggestion, 'Re-attempt the step with the diagnosed mistake corrected.'), '"}') AS directive FROM a""")(lambda s, d: advice.actor_tasks(advised(rich(s, d))))

@@ -54,7 +54,7 @@ query(
     "protocol_executions",
     f"WITH {_WIRE}, v AS (SELECT trace_id, idx, c, twice, c % 5 <> 2 AS one, CASE WHEN c % 12 = 8 THEN 0 ELSE 1 END AS results, CASE WHEN c % 13 = 6 THEN NULL WHEN c % 7 = 3 THEN 'other' ELSE own END AS ran_id, own FROM t WHERE is_list AND NOT blank) SELECT trace_id, idx, unnest(list_filter([CASE WHEN NOT one THEN 'no_unique_turn_pointer' END, CASE WHEN one AND twice AND c % 8 <> 1 THEN 'multi_call_not_rejected' END, CASE WHEN one AND twice AND c % 8 = 1 THEN 'rejected_call_executed' END, CASE WHEN one AND NOT twice AND results = 0 THEN 'no_unique_execution_pair' END, CASE WHEN p AND ran_id IS DISTINCT FROM own THEN 'call_id_disagrees' END, CASE WHEN p AND c % 6 = 1 THEN 'call_name_disagrees' END, CASE WHEN p AND c % 10 = 7 THEN 'args_not_object' END, CASE WHEN p AND c % 10 <> 7 AND c % 8 = 5 THEN 'call_args_disagree' END, CASE WHEN p AND c % 6 = 1 THEN 'result_name_disagrees' END], lambda x: x IS NOT NULL)) AS reason FROM (SELECT *, one AND NOT twice AND results = 1 AS p FROM v)",
 )(lambda s, d: protocol.execution_violations(wire(s, d), executed(s, d)))
-query("protocol_events", f"WITH {_WIRE}, i AS (SELECT DISTINCT trace_id, own FROM t WHERE is_list AND NOT blank) SELECT trace_id, idx, 'call_id_without_envelope' AS reason FROM t WHERE c % 13 <> 6 AND (trace_id, CASE WHEN c % 7 = 3 THEN 'other' ELSE own END) NOT IN (SELECT trace_id, own FROM i)")(lambda s, d: protocol.event_violations(wire(s, d), executed(s, d)))
+query("protocol_events", f"WITH {_WIRE}, i AS (SELECT DISTINCT trace_id, own FROM t WHERE is_list AND NOT blank) SELECT trace_id, idx, 'call_id_without_envelope' AS reason FROM t WHERE c % 13 <> 6 AND (trace_id, CASE WHEN c % 7 = 3 THEN 'other' ELSE own END) NOT IN (SELECT trace_id, own FROM i) UNION ALL SELECT trace_id, idx, 'call_without_id_or_fallback' FROM t WHERE c % 13 = 6 AND c % 4 = 1")(lambda s, d: protocol.event_violations(wire(s, d), executed(s, d)))
 
 # --- stores
 
