@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, embedding_dedup, language_id, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
+from . import ball_tree, bpe, decontamination, embedding_dedup, hard_negatives, language_id, license_scan, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
 from .common import fresh_path, read, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -68,6 +68,20 @@ def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op12_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), lambda i: i % 50 == 0)
+
+
+def op13_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
@@ -79,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op6_stratified_shards": op6_stratified_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_license_scan": op11_license_scan,
+    "op12_bit_sliced_negatives": op12_bit_sliced_negatives,
+    "op13_ball_tree_clusters": op13_ball_tree_clusters,
 }
 
