@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ball_tree, bpe, decontamination, embedding_dedup, hard_negatives, language_id, license_scan, ngram_join, sharding, substring_dedup, toxicity, url_filter, warc
-from .common import fresh_path, read, table
+from .common import Scratch, delete, fresh_path, read, table
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -57,8 +57,11 @@ def op2_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    manifest = warc.write_archives(pages, fresh_path(spark, "warc"))
+    passing, folder = Scratch(spark), fresh_path(spark, "warc")
+    manifest = warc.write_archives(pages, folder, scratch=passing)
     records = table(warc.read_archives(spark, manifest), "warc-records")
+    passing.drop()
+    delete(spark, folder)
     out = warc.resolve(records, pages)
     kind = pages.schema["page_id"].dataType
     return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
