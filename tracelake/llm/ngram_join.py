@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +36,8 @@ ENUMERATE_UP_TO = 3
 #: Buckets up to this size list all their pairs; larger ones are joined to their least member first
 #: and later compared in full between the components that this leaves.
 SMALL_BUCKET = 6
+#: Sets of up to so many elements are told apart by their words: in larger ones all that differs would have to collide.
+WORDS_UP_TO = 8
 #: Elements of a family of mixed buckets that one task compares; larger families are dealt in blocks by size range and salt.
 BLOCK_ELEMENTS = 2_000_000
 MAX_SIZE = 1 << 31
@@ -92,9 +95,32 @@ def _sets(w: tk.Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def _class_hash(s: np.ndarray) -> int:
-    """An order-free 64-bit hash of a set, as a signed long."""
-    return int((tk.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))).view(np.int64))
+class Keys:
+    """The 64-bit numbers of classes (documents of equal sets), which differ where 128 bits of the sets do.
+
+    ``first`` is an order-free hash of the elements. ``second`` tells classes apart that share it: of small
+    sets it is a digest of the elements' words, of larger ones another hash of the elements. ``renamed``
+    has a number of its own for each class but one of those that share their first.
+    """
+
+    def __init__(self, bits: int = 64, renamed: dict[tuple[int, int], int] | None = None):
+        self.mask, self.renamed = U((1 << bits) - 1), renamed or {}
+        self.shared = {c for c, _ in self.renamed}
+
+    def first(self, s: np.ndarray) -> int:
+        return int(((tk.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))) & self.mask).view(np.int64))
+
+    @staticmethod
+    def second(w: tk.Words, d: int, s: np.ndarray, n: int) -> int:
+        if len(s) > WORDS_UP_TO:
+            return int(tk.mix(tk.mix(s + U(0x2545F4914F6CDD1D)) * U(0xD6E8FEB86659FD93) + U(len(s))).sum(dtype=U).view(np.int64))
+        a, b = int(w.bounds[d]), int(w.bounds[d + 1])
+        held = sorted({w.text(i, i + n).lower() for i in range(a, b - n + 1)} if b - a >= n else {w.text(a, b).lower()})
+        return int.from_bytes(blake2b(b"\n".join(held), digest_size=8).digest(), "little", signed=True)
+
+    def of(self, w: tk.Words, d: int, s: np.ndarray, n: int) -> int:
+        c = self.first(s)
+        return self.renamed.get((c, self.second(w, d, s, n)), c) if c in self.shared else c
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -137,33 +163,61 @@ def _signatures(s: np.ndarray, bands: Bands) -> list[np.ndarray]:
     return out
 
 
-def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, c)``: set size and the hash of the set; null where the set is empty."""
+def document_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, bits: int = 64) -> DataFrame:
+    """``(doc_id, n_shingles, c, c2)``: set size and the two halves of the set's key; null where the set is empty."""
+    keys = Keys(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for w in tk.slices(batch.column(1), tk.SPACED_LOWER):
+            for w in tk.slices(batch.column(1), tk.SPACED_LOWER, strong=True):
                 sets = _sets(w, n)
-                hashes = [_class_hash(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.n_docs), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "n_shingles", "c"])
+                first = [keys.first(s) if len(s) else None for s in sets]
+                second = [keys.second(w, d, s, n) if len(s) else None for d, s in enumerate(sets)]
+                yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.n_docs), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["doc_id", "n_shingles", "c", "c2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, c long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, c long, c2 long")
 
 
-def _signed(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
+def _told_apart(base: DataFrame, bits: int) -> tuple[DataFrame, Keys]:
+    """``(doc_id, n_shingles, c)`` with a number for each class, and the keys that give it.
+
+    Classes that share a first half are as rare as collisions of 64 bits (of m classes some m^2 / 2^65
+    pairs: a few at 10^10 classes), so the driver numbers them.
+    """
+    shared = base.where("c is not null").groupBy("c").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi")
+    found = base.join(shared, "c").select("c", "c2", "lo").where("c2 <> lo").distinct().collect()
+    spark, renamed = base.sparkSession, {}
+    left, turn = [(r["c"], r["c2"]) for r in found], 0
+    while left:
+        turn += 1
+        tried = {k: int(tk.mix(tk.mix(np.array([k[0]]).view(U) + U(turn)) ^ np.array([k[1]]).view(U)).view(np.int64)[0]) for k in left}
+        rows = spark.createDataFrame(list(set(tried.values())), "long").toDF("c")
+        taken = {r["c"] for r in rows.join(base.select("c"), "c", "left_semi").collect()} | set(renamed.values())
+        for k, c in tried.items():
+            if c not in taken:
+                renamed[k] = c
+                taken.add(c)
+        left = [k for k in left if k not in renamed]
+    if renamed:
+        new = spark.createDataFrame([(*k, c) for k, c in renamed.items()], "c long, c2 long, new long")
+        base = base.join(F.broadcast(new), ["c", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("new", "c").alias("c"))
+    return base.select("doc_id", "n_shingles", "c"), Keys(bits, renamed)
+
+
+def _signed(docs: DataFrame, text_col: str, n: int, bands: Bands, keys: Keys) -> DataFrame:
     """``(sig, c)``: each class's signatures, once in a task however many copies the task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for w in tk.slices(batch.column(0), tk.SPACED_LOWER):
+            for w in tk.slices(batch.column(0), tk.SPACED_LOWER, strong=True):
                 sigs, owner = [], []
-                for s in _sets(w, n):
+                for d, s in enumerate(_sets(w, n)):
                     if not len(s):
                         continue
-                    c = _class_hash(s)
+                    c = keys.of(w, d, s, n)
                     if c in done:
                         continue
                     done.add(c)
@@ -296,12 +350,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFr
             for at in range(0, len(x), 64):
                 tx = batch.column(2).slice(at, 64)
                 sets: list[np.ndarray] = []
-                for w in tk.slices(tx, tk.SPACED_LOWER):
+                for w in tk.slices(tx, tk.SPACED_LOWER, strong=True):
                     sets += _sets(w, n)
                 out = []
                 for i, s in enumerate(sets, at):
                     if y[i] != last_y:
-                        set_y = [z for w in tk.slices(batch.column(3).slice(i, 1), tk.SPACED_LOWER) for z in _sets(w, n)][0]
+                        set_y = [z for w in tk.slices(batch.column(3).slice(i, 1), tk.SPACED_LOWER, strong=True) for z in _sets(w, n)][0]
                         last_y = y[i]
                     if similar(s, set_y, t.numerator, t.denominator):
                         out.append(i)
@@ -313,13 +367,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFr
     return both.sortWithinPartitions("y").mapInArrow(run, "x long, y long")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None, key_bits: int = 64) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a document of fewer than ``n`` words
     is its whole sequence as one element. Rows link where the Jaccard similarity of their sets is at
-    least ``threshold``, computed exactly on 64-bit element hashes; component_id is the least id
-    reachable. Rows without words or text link with nothing and are their own component; a null id
+    least ``threshold``, computed on 64-bit element hashes; component_id is the least id reachable.
+    Sets are equal where 128 bits are: a word's hash is nonlinear, and the words of small sets are digested
+    (``key_bits`` shortens the first half, for tests). A very long text is one set. Rows without words or text link with nothing and are their own component; a null id
     gets a null component. Rows of equal sets are one class from the start (so copies never meet in
     pairs), repeated rows included; an id with several texts has a row for each, and all its texts
     count as that document. Empty tables give an empty result; other columns are ignored. ``scratch``
@@ -328,16 +383,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bands = Bands(threshold)
     spark = docs.sparkSession
     keep, passing = scratch or Scratch(spark), Scratch(spark)
-    base = keep.table(document_classes(docs, id_col=id_col, text_col=text_col, n=n), "ngram-sets")
+    base, keys = _told_apart(keep.table(document_classes(docs, id_col=id_col, text_col=text_col, n=n, bits=key_bits), "ngram-sets"), key_bits)
     classes = base.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = _signed(docs, text_col, n, bands).repartition(parts, "sig").sortWithinPartitions("sig", "c")
+    buckets = _signed(docs, text_col, n, bands, keys).repartition(parts, "sig").sortWithinPartitions("sig", "c")
     found = passing.table(buckets.mapInArrow(_bucket_pairs, "x long, y long, sig long"), "ngram-pairs")
     del buckets
     release(spark)
 
-    sketched = passing.table(_class_sketches(docs, found, classes, id_col, text_col, n), "ngram-sketches")
+    sketched = passing.table(_class_sketches(docs, found, classes, id_col, text_col, n, keys), "ngram-sketches")
     release(spark)
     likely = passing.table(_likely(found.where("x <> y").select("x", "y").distinct(), sketched, bands), "ngram-likely")
     # links are written first: a stage with two Arrow functions would hold two Python workers a task
@@ -364,7 +419,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _class_sketches(docs: DataFrame, found: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _class_sketches(docs: DataFrame, found: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, keys: Keys) -> DataFrame:
     """``(c, size, sketch, text)`` of the classes that share a bucket with another, from one document of each."""
     wanted = found.select("x").union(found.select("y")).distinct().withColumnRenamed("x", "c")
     ids = classes.join(wanted, "c", "left_semi").select("c", "doc_id", "size")
@@ -372,9 +427,13 @@ def _class_sketches(docs: DataFrame, found: DataFrame, classes: DataFrame, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for w in tk.slices(batch.column(2), tk.SPACED_LOWER) for s in _sets(w, n)]
+            sets, named = [], []
+            for w in tk.slices(batch.column(2), tk.SPACED_LOWER, strong=True):
+                mine = _sets(w, n)
+                sets += mine
+                named += [keys.of(w, d, s, n) if len(s) else None for d, s in enumerate(mine)]
             # an id with several texts meets the classes of all of them: each text goes to its own
-            own = pa.array([_class_hash(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            own = pa.array([k == c for k, c in zip(named, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(map(_sketch, sets), pa.binary())], names=["c", "size", "text", "sketch"]).filter(own)
 
     # a repeated row would repeat its class; any one will do
@@ -499,7 +558,7 @@ class _Family:
 
         def of(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = [s for w in tk.slices(pa.array([text[i]]), tk.SPACED_LOWER) for s in _sets(w, n)][0]
+                sets[i] = [s for w in tk.slices(pa.array([text[i]]), tk.SPACED_LOWER, strong=True) for s in _sets(w, n)][0]
             return sets[i]
 
         t, out = self.bands.t, []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,40 @@ class Words:
         return b" ".join(d[i:j].tobytes() for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, classes: np.ndarray) -> Iterator[Words]:
-    """The words of a text column, in slices of about SLICE_BYTES (a longer text is a slice of its own)."""
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_KEY = U(0x9AE16A3B2F90404F)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
+def strong_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes a step with a nonlinear step between.
+
+    Other than by sums of powers, unlike words of regular build don't meet here; words of up to eight
+    bytes of one length never do.
+    """
+    n = end - start
+    h = mix(n.astype(U) + _KEY)
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(low) + 1,), strides=(1,))
+    short = np.flatnonzero(n <= LONG_WORD)
+    at = 0
+    while len(short):
+        left = np.minimum(n[short] - at, 8)
+        h[short] = mix(h[short] ^ (lanes[start[short] + at] & _MASKS[left])) * _KEY
+        at += 8
+        short = short[n[short] > at]
+    for i in np.flatnonzero(n > LONG_WORD):
+        h[i] = int.from_bytes(blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def slices(column: pa.Array | pa.ChunkedArray, classes: np.ndarray, *, strong: bool = False) -> Iterator[Words]:
+    """The words of a text column, in slices of about SLICE_BYTES (a longer text is a slice of its own).
+
+    ``strong`` hashes words so that equal hashes may stand for equal words; otherwise unlike words of
+    regular build may meet, and what depends on equality has to look at the words.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -91,11 +124,11 @@ def slices(column: pa.Array | pa.ChunkedArray, classes: np.ndarray) -> Iterator[
     while a < n:
         b = int(np.searchsorted(off, off[a] + SLICE_BYTES, side="right")) - 1
         b = min(max(b, a + 1), n)
-        yield _words(raw[off[a] : off[b]], off[a : b + 1] - off[a], a, classes)
+        yield _words(raw[off[a] : off[b]], off[a : b + 1] - off[a], a, classes, strong)
         a = b
 
 
-def _words(data: np.ndarray, off: np.ndarray, first: int, classes: np.ndarray) -> Words:
+def _words(data: np.ndarray, off: np.ndarray, first: int, classes: np.ndarray, strong: bool = False) -> Words:
     n = len(data)
     m = classes[data]
     is_word = m != 0
@@ -108,10 +141,13 @@ def _words(data: np.ndarray, off: np.ndarray, first: int, classes: np.ndarray) -
     after[inner[inner > 0] - 1] = False
     start = np.flatnonzero(is_word & ~before)
     end = np.flatnonzero(is_word & ~after) + 1
-    p, inv = _pow(n + 1)
-    s = np.zeros(n + 1, U)
-    np.cumsum(m * p[:n], out=s[1:])
-    h = mix((s[end] - s[start]) * inv[start] + (end - start).astype(U))
+    if strong:
+        h = strong_hashes((m - 1).astype(np.uint8), start, end)
+    else:
+        p, inv = _pow(n + 1)
+        s = np.zeros(n + 1, U)
+        np.cumsum(m * p[:n], out=s[1:])
+        h = mix((s[end] - s[start]) * inv[start] + (end - start).astype(U))
     bounds = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(bounds))
     return Words(len(off) - 1, first, data, start, end, doc, h, bounds)
