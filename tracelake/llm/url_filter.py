@@ -1,7 +1,8 @@
 """URL filtering: fixed host/path rules first, mined association rules for the rest. DataFrame operations only.
 
-Token combinations that come with a block label are grown level by level over all tokens; rules above
-a support and a confidence are indexed under their rarest token, so that a URL meets only rules that share it.
+FP-growth mines the token combinations that come with a block label, from the whole token sets of all
+labelled URLs; tokens that are in exactly the same URLs are one item. Rules above a support and a confidence
+are indexed under their rarest item, so that a URL meets only rules that share it.
 """
 
 from __future__ import annotations
@@ -9,17 +10,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import table
+from .common import Scratch
 
+#: The label's item; no token starts with an equals sign.
 BLOCK = "=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-#: A rule must hold for so many blocked URLs, however few there are in all: the support asked for is
-#: ``max(MIN_SUPPORT, LEAST_ROWS / n)``, and below so many labelled URLs there are no rules.
+#: A rule must hold for so many blocked URLs, however few there are in all: what fewer show may be chance.
 LEAST_ROWS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,66 +61,71 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host_of(url), "[.:@]", "h:"), words(path_of(url), "[/._\\-~+%,;]", "p:"), words(query, "[&;=]", "q:")))
 
 
-def _baskets(known: DataFrame, need: int) -> DataFrame:
-    """Distinct sets of frequent tokens, ``basket, tokens, n, blocked``: a token not in ``need`` blocked URLs is in no rule."""
-    sets = table(known.groupBy(tokens_of(F.col("url")).alias("tokens")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")), "url-sets")
-    frequent = sets.select("n", "blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("blocked").alias("b")).where(F.col("b") >= need).select("token")
-    # equal sets of frequent tokens become one; the array is sorted, so that sets of tokens are grown in one order only
-    kept = sets.select(F.xxhash64("tokens").alias("at"), "tokens", "n", "blocked").withColumn("token", F.explode("tokens")).join(frequent, "token")
-    kept = kept.groupBy("at", "tokens", "n", "blocked").agg(F.array_sort(F.collect_list("token")).alias("kept"))
-    merged = kept.groupBy(F.col("kept").alias("tokens")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
-    return table(merged.select(F.sha2(F.concat_ws("\n", "tokens"), 256).alias("basket"), "tokens", "n", "blocked"), "url-baskets")
+def _items(known: DataFrame, need: int, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Token sets with their items ``(tokens, items, n, blocked)``, and the items ``(item, tokens)``.
+
+    A token in fewer than ``need`` blocked URLs is in no rule, and one in all URLs changes none. Tokens that
+    are in exactly the same URLs are one item, named by the least of them: two hashes of the sets' numbers,
+    combined by exclusive or, and the URLs' number tell whether they are.
+    """
+    sets = scratch.table(known.groupBy(tokens_of(F.col("url")).alias("tokens")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")), "url-sets")
+    name = F.concat_ws("\n", F.array_sort("tokens"))
+    alike = [F.expr(f"bit_xor({h})") for h in ("conv(substr(at, 1, 15), 16, 10)::bigint", "conv(substr(at, 16, 15), 16, 10)::bigint")]
+    of_token = sets.select("n", "blocked", F.md5(name).alias("at"), F.explode("tokens").alias("token")).groupBy("token")
+    of_token = of_token.agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), alike[0].alias("x"), alike[1].alias("y")).where((F.col("b") >= need) & (F.col("n") < n))
+    items = scratch.table(of_token.groupBy("x", "y", "n", "b").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select(F.col("tokens")[0].alias("item"), "tokens"), "url-items")
+    held = sets.select(F.md5(name).alias("at"), "n", "blocked", F.explode("tokens").alias("item")).join(items.select("item"), "item")
+    return held.groupBy("at", "n", "blocked").agg(F.array_sort(F.collect_list("item")).alias("items")), items
 
 
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Rules ``(tokens, key, confidence, support, lift)`` that imply a block, from ``(url, blocked boolean)``.
+    """Rules ``(tokens, key, confidence, support, lift, alike)`` that imply a block, from ``(url, blocked boolean)``.
 
-    All tokens of all URLs take part, and sets of any length. Of the sets that are in the same URLs only
-    the least ones (no token can go without the set being in more URLs) become rules, and none that
-    contains an always blocked one: every other frequent set has such a subset with no less confidence,
-    so :func:`judge` gives what all rules would give, and tokens that come together make no 2^n sets.
+    All tokens of all URLs take part, and sets of any length. ``tokens`` are a rule's items and ``alike`` the
+    tokens that each stands for: one of each makes the rule fit. Of the sets that are in the same URLs only
+    the least ones (no item can go without the set being in more URLs) become rules, and none that contains
+    an always blocked one: every other frequent set has such a subset with no less confidence, so
+    :func:`judge` gives what all rules would give.
 
-    Rows of null url or label teach nothing; no labels give no rules. Only rules better than the base
-    rate (lift above 1) stay.
+    A rule holds for at least ``max(min_support * n, least_rows)`` blocked URLs of n labelled ones. Rows of
+    null url or label teach nothing; no labels give no rules. Only rules better than the base rate (lift
+    above 1) stay.
     """
     known = labelled.where("url is not null and blocked is not null")
     spark = labelled.sparkSession
     n, blocked = known.agg(F.count("*"), F.count_if("blocked")).first()
-    if n < least_rows or not blocked:
-        return spark.createDataFrame([], "tokens array<string>, key string, confidence double, support double, lift double")
     need = max(math.ceil(min_support * n), least_rows, 1)
-    baskets = _baskets(known, need)
-    # a level: the sets of so many tokens that are in `need` blocked URLs and in fewer URLs than each of their subsets
-    held = baskets.select("basket", F.col("n").alias("rows"), F.col("blocked").alias("bad"), F.explode("tokens").alias("last"))
-    held = held.select("basket", "rows", "bad", F.array().cast("array<string>").alias("head"), "last")
-    levels, below = [], None
-    while True:
-        tokens = F.concat("head", F.array("last"))
-        held = held.withColumn("tokens", tokens)
-        level = held.groupBy("tokens").agg(F.sum("rows").alias("n"), F.sum("bad").alias("b")).where((F.col("b") >= need) & (F.col("n") < n))
-        if below is not None:
-            parts = F.transform("tokens", lambda x, i: F.filter("tokens", lambda y, j: j != i))
-            met = level.select("tokens", "n", F.explode(parts).alias("part")).join(below.select(F.col("tokens").alias("part"), F.col("n").alias("more")), "part").where(F.col("n") < F.col("more"))
-            least = met.groupBy("tokens").agg(F.count("*").alias("parts")).where(F.col("parts") == F.size("tokens")).select("tokens")
-            level = level.join(least, "tokens")
-        level = table(level, "url-level")
-        levels.append(level)
-        below = level.where("b < n")
-        if below.count() < 2:
-            break
-        held = table(held.join(below.select("tokens"), "tokens").select("basket", "rows", "bad", "head", "last", "tokens"), "url-held")
-        right = held.select("basket", "head", F.col("last").alias("next"))
-        held = held.join(right, ["basket", "head"]).where(F.col("last") < F.col("next")).select("basket", "rows", "bad", F.col("tokens").alias("head"), F.col("next").alias("last"))
-    sets = levels[0]
-    for level in levels[1:]:
-        sets = sets.unionByName(level)
+    nothing = spark.createDataFrame([], "tokens array<string>, key string, confidence double, support double, lift double, alike array<array<string>>")
+    if blocked < need:
+        return nothing
+    keep, passing = Scratch(spark), Scratch(spark)
+    held, items = _items(known, need, n, passing)
+    # a row a URL: the label is an item of the blocked ones
+    urls = held.select("items", F.explode(F.array(F.struct(F.col("blocked").alias("k"), F.lit(True).alias("bad")), F.struct((F.col("n") - F.col("blocked")).alias("k"), F.lit(False).alias("bad")))).alias("of")).where("of.k > 0")
+    urls = urls.select(F.when(F.col("of.bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"), F.explode(F.expr("sequence(1L, of.k)"))).select("items")
+    urls = passing.table(urls, "url-baskets")
+    if (rows := urls.count()) < need:
+        passing.drop()
+        return nothing
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / rows, minConfidence=min_confidence).fit(urls)
+    found = passing.table(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "url-itemsets")
+    with_label = found.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("n").alias("b"))
+    sets = passing.table(with_label.join(found, "items"), "url-frequent")
+    # a subset of one item less is frequent too, and its URLs are at least the set's
+    part = sets.where(F.size("items") > 1).select("items", "n", F.explode(F.transform("items", lambda x, i: F.filter("items", lambda y, j: j != i))).alias("part"))
+    less = sets.select(F.col("items").alias("part"), F.col("n").alias("more"), F.col("b").alias("bad"))
+    idle = part.join(less, "part").where((F.col("n") == F.col("more")) | (F.col("more") == F.col("bad"))).select("items").distinct()
     confidence = F.col("b") / F.col("n")
     better = F.col("b").cast("decimal(38,0)") * n > F.col("n").cast("decimal(38,0)") * blocked
-    rules = sets.where((confidence >= min_confidence) & better).select("tokens", confidence.alias("confidence"), (F.col("b") / n).alias("support"), (confidence / (blocked / n)).alias("lift"))
-    # every token of a rule is a rule's subset, and so in the first level
-    single = levels[0].select(F.col("tokens")[0].alias("token"), F.col("n").alias("freq"))
-    rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    return rules.join(rarest, "tokens").select("tokens", "key", "confidence", "support", "lift")
+    rules = sets.where((confidence >= min_confidence) & better).join(idle, "items", "left_anti")
+    rules = rules.select(F.col("items").alias("tokens"), confidence.alias("confidence"), (F.col("b") / n).alias("support"), (confidence / (blocked / n)).alias("lift"))
+    # a rule's items are frequent sets of one
+    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("n").alias("freq"))
+    named = rules.select("tokens", F.explode("tokens").alias("item")).join(single, "item").join(items.withColumnRenamed("tokens", "like"), "item")
+    named = named.groupBy("tokens").agg(F.min(F.struct("freq", "item"))["item"].alias("key"), F.array_sort(F.collect_list(F.struct("item", "like")))["like"].alias("alike"))
+    rules = keep.table(rules.join(named, "tokens").select("tokens", "key", "confidence", "support", "lift", "alike"), "url-rules")
+    passing.drop()
+    return rules
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", fixed: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,9 +148,9 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     rows = rows.withColumns({"rule": rule, "fixed": verdict})
     # URLs that differ in numbers only share their tokens, so each token set is matched once
     sets = rows.where("fixed is null and size(tokens) > 0").select("tokens").distinct()
-    keyed = sets.select("tokens", F.explode("tokens").alias("key"))
-    index = rules.select(F.col("tokens").alias("needed"), "key", "confidence")
-    met = keyed.join(index, "key").where(F.size(F.array_except("needed", "tokens")) == 0)
+    keyed = sets.select("tokens", F.explode("tokens").alias("token"))
+    index = rules.select("alike", "confidence", F.explode(F.col("alike")[F.array_position("tokens", F.col("key")).cast("int") - 1]).alias("token"))
+    met = keyed.join(index, "token").where(F.forall("alike", lambda like: F.arrays_overlap(like, F.col("tokens"))))
     blocked = met.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
     out = rows.join(blocked, "tokens", "left")
     by_method = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
