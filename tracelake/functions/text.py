@@ -36,8 +36,8 @@ def quote_norm(x: Column) -> Column:
 
 
 def canonical(x: Column) -> Column:
-    """Normalised and without quotation marks."""
-    return F.translate(quote_norm(x), "\"'`‘’“”", "")
+    """Normalised and without quotation marks (and the spaces that these leave)."""
+    return squeeze(F.translate(quote_norm(x), "\"'`‘’“”", ""))
 
 
 def word_set(x: Column) -> Column:

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, quote_norm, squeeze, unescape
+from ..functions.text import squeeze
+from .quotes import RUNGS, hits
 
-RUNGS = ("exact", "normalized", "canonical")
 UNSAFE_KEYS = ("path", "uri", "source_dir")
 
 
 def locate(quotes: DataFrame, runs: DataFrame) -> DataFrame:
-    """Where each quote is: the strictest of exact, normalised and canonical text, the anchor event first, then in order; ``at`` is its 1-based place if exact."""
-    marks = {"quote_n": quote_norm(F.col("quote")), "quote_c": canonical(F.col("quote"))}
-    rows = quotes.withColumns(marks).join(runs.select("trace_id", F.col("event_id").alias("found_id"), "pos", F.col("text").alias("said")), "trace_id")
-    norm = squeeze(unescape(F.col("said")))
-    rung = F.when(F.contains("said", F.col("quote")), 0).when((F.col("quote_n") != "") & F.contains(norm, F.col("quote_n")), 1).when((F.col("quote_c") != "") & F.contains(canonical(F.col("said")), F.col("quote_c")), 2)
-    rows = rows.withColumn("rung", rung).where("rung is not null")
+    """Where each quote is: the strictest of exact, normalised and canonical text, the anchor event first, then in order; ``at`` is its 1-based place if exact.
+
+    :func:`quotes.place` gives the span in the source, tries quotes without their frames, and near misses.
+    """
+    rows = hits(quotes.withColumn("needle", F.col("quote")), runs)
     best = rows.groupBy("trace_id", "quote_id").agg(F.min(F.struct("rung", (~F.col("found_id").eqNullSafe(F.col("anchor"))).alias("other"), "pos", "found_id", F.when(F.col("rung") == 0, F.instr("said", F.col("quote"))).alias("at"))).alias("b"))
     out = quotes.select("trace_id", "quote_id").join(best, ["trace_id", "quote_id"], "left")
-    return out.select("trace_id", "quote_id", F.get(F.array(*map(F.lit, RUNGS)), F.col("b.rung")).alias("rung"), F.col("b.found_id").alias("event_id"), F.col("b.at").alias("at"))
+    return out.select("trace_id", "quote_id", F.get(F.array(*map(F.lit, RUNGS[:3])), F.col("b.rung")).alias("rung"), F.col("b.found_id").alias("event_id"), F.col("b.at").alias("at"))
 
 
 def grounding(located: DataFrame, runs: DataFrame, blamed: DataFrame) -> DataFrame:

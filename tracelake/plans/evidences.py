@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trace as X
-from ..operators import evidence
+from ..operators import evidence, quotes
 from ..sources.fixtures import table
 from .events import W, rich
 from .registry import query
@@ -31,6 +31,36 @@ query("evidence_grounding", W + f", {LOC}, bl AS (SELECT trace_id, event_id AS b
 query("evidence_valid", W + ", c AS (SELECT trace_id, event_id AS qid, CASE WHEN pos % 2 = 0 THEN event_id END AS cited, CASE WHEN pos % 3 = 0 THEN 'No results' ELSE 'JSON schema' END AS quote FROM rich WHERE pos < 10), m AS (SELECT c.trace_id, qid, cited, quote, r.event_id, count(*) OVER (PARTITION BY c.trace_id, qid) AS n FROM c JOIN rich r ON r.trace_id = c.trace_id AND contains(r.text, quote) AND (cited IS NULL OR cited = r.event_id)) SELECT DISTINCT trace_id, event_id, quote FROM m WHERE cited IS NOT NULL OR n = 1")(
     lambda s, d: (lambda r: evidence.valid_evidence(r.where("pos < 10").select("trace_id", C("event_id").alias("quote_id"), F.when(C("pos") % 2 == 0, C("event_id")).alias("event_id"), F.when(C("pos") % 3 == 0, L(" No  results")).otherwise(L("JSON schema")).alias("quote")), r))(rich(s, d))
 )
+
+
+#: Turns whose texts have single blanks only, as runs: places in the normalised text are places in the source.
+_PLAIN = "length(text) >= 80 AND NOT regexp_matches(text, '\\s\\s') AND text = trim(text)"
+_PIECE = "trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g'))"
+TURNS = f"""ev AS (SELECT conv_id AS trace_id, concat('evt_', conv_id, '_', turn) AS event_id, turn, text, regexp_replace(text, '\\s', ' ', 'g') AS n, {_PIECE} AS piece FROM conversations WHERE {_PLAIN}),
+asked AS (SELECT *, turn % 5 AS kind, length(piece) AS k FROM ev WHERE length(piece) > 30),
+held AS (SELECT a.trace_id, a.turn, arg_min(struct_pack(e := e.event_id, at := CASE WHEN a.kind = 1 AND contains(e.text, a.piece) THEN instr(e.text, a.piece) ELSE instr(e.n, a.piece) END - 1, raw := contains(e.text, a.piece)), struct_pack(r := a.kind = 1 AND NOT contains(e.text, a.piece), o := a.kind <> 2 OR e.event_id <> a.event_id, t := e.turn)) AS h FROM asked a JOIN ev e ON e.trace_id = a.trace_id AND contains(e.n, a.piece) GROUP BY ALL)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where((F.char_length("text") >= 80) & ~C("text").rlike(r"\s\s") & (C("text") == F.trim("text")))
+    return rows.select(C("conv_id").alias("trace_id"), F.concat_ws("_", L("evt"), "conv_id", "turn").alias("event_id"), C("turn").alias("pos"), "text")
+
+
+def asked(runs: DataFrame) -> DataFrame:
+    """Quotes of the turns' own passages: with blanks doubled, in a frame with marks, named by their event, with a letter changed, and made up."""
+    p = C("piece")
+    rows = runs.withColumn("piece", F.trim(F.regexp_replace(F.substring("text", 11, 40), r"\s+", " "))).where(F.char_length("piece") > 30).withColumn("kind", C("pos") % 5)
+    changed = F.concat(F.substring(p, 1, 19), L("#"), F.substring(p, L(21), F.char_length(p)))
+    quote = F.when(C("kind") == 0, F.replace(p, L(" "), L("  "))).when(C("kind") == 1, F.concat(L("step 3: Observation: \""), p, L("\""))).when(C("kind") == 2, F.concat(C("event_id"), L(": "), p, L(" ..."))).when(C("kind") == 3, changed).otherwise(L("[step 4] evt_none: never said by anyone here"))
+    return rows.select("trace_id", F.concat(L("q"), "event_id").alias("quote_id"), L(None).cast("string").alias("anchor"), quote.alias("quote"), "kind")
+
+
+query("quotes_placed", f"WITH {TURNS} SELECT trace_id, concat('q', event_id) AS quote_id, CASE WHEN kind = 4 THEN 'unresolvable' WHEN kind = 3 THEN 'similar' WHEN kind = 1 AND h.raw THEN 'exact' ELSE 'normalized' END AS rung, CASE WHEN kind < 4 THEN h.e END AS event_id, CASE WHEN kind < 4 THEN h.at::INT END AS start, CASE WHEN kind < 4 THEN (h.at + k)::INT END AS stop, CASE WHEN kind < 4 THEN piece END AS found, CASE WHEN kind < 3 THEN 1.0::DOUBLE WHEN kind = 3 THEN round(2.0::DOUBLE * (k - 1) / (2 * k), 6) END AS similarity, CASE WHEN kind = 2 THEN CASE WHEN h.e = event_id THEN 'resolved' ELSE 'elsewhere' END WHEN kind = 4 THEN 'unknown_event' ELSE 'not_declared' END AS anchor_state FROM asked JOIN held USING (trace_id, turn)")(
+    lambda s, d: (lambda r: quotes.place(asked(r), r, 0.85).select("trace_id", "quote_id", "rung", "event_id", "start", "stop", F.regexp_replace("found", r"\s", " ").alias("found"), F.round("similarity", 6).alias("similarity"), "anchor_state"))(turns(s, d))
+)
+query("quotes_frames", f"WITH {TURNS} SELECT trace_id, concat('q', event_id) AS quote_id, CASE kind WHEN 2 THEN event_id WHEN 4 THEN 'evt_none' END AS declared, CASE kind WHEN 0 THEN replace(piece, ' ', '  ') WHEN 1 THEN piece WHEN 2 THEN concat(piece, ' ...') WHEN 3 THEN concat(left(piece, 19), '#', substr(piece, 21)) ELSE 'never said by anyone here' END AS content FROM asked")(
+    lambda s, d: asked(turns(s, d)).select("trace_id", "quote_id", quotes.framed(C("quote"))["declared"].alias("declared"), quotes.framed(C("quote"))["content"].alias("content"))
+)
 query("evidence_safe_details", W + "SELECT event_id, concat('type=', event_type) AS details FROM rich")(lambda s, d: rich(s, d).select("event_id", F.array_join(F.transform(F.map_entries(evidence.safe_details(F.create_map(L("Path"), L("/x"), L("type"), C("event_type"), L("uri"), L("u")))), lambda e: F.concat(e["key"], L("="), e["value"])), ",").alias("details")))
 query("labels_annotation_filter", "SELECT doc_id AS task_id FROM documents WHERE source IN ('src0', 'src1', 'src2') AND contains(lower(text), 'the') AND doc_id NOT IN (SELECT doc_id FROM labels)")(
     lambda s, d: evidence.annotation_filter(table(s, d, "documents").select(C("doc_id").alias("task_id"), C("source").alias("app"), "text"), apps=("src0", "src1", "src2"), contains="The", done=table(s, d, "labels").select(C("doc_id").alias("task_id")), annotated=False).select("task_id")
