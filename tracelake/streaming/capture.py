@@ -18,6 +18,7 @@ def sessions(notices: DataFrame) -> DataFrame:
 
 #: Parts that a session store is kept in; a batch rewrites those that it touches.
 PARTS = 64
+STORED = "host string, session_id string, n_bytes long, receipt_id string, notices long, epoch long, part int"
 
 
 def _part():
@@ -26,7 +27,7 @@ def _part():
 
 def state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The store's sessions as of the last epoch (before ``before``): of each part its newest version."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
+    rows = spark.read.schema(STORED).option("basePath", path).parquet(f"{path}/epoch=*")
     if before is not None:
         rows = rows.where(F.col("epoch") < before)
     newest = rows.groupBy("part").agg(F.max("epoch").alias("epoch"))
@@ -34,7 +35,7 @@ def state(spark: SparkSession, path: str, before: int | None = None) -> DataFram
 
 
 def upsert_into(path: str):
-    """A foreachBatch sink that keeps the newest row per session; a replayed batch changes nothing.
+    """A foreachBatch sink that keeps the newest row per session; a replayed batch changes nothing, an empty one writes nothing.
 
     Sessions are dealt over PARTS by hash. A batch reads and rewrites only the parts that it touches, under
     its epoch; versions of those parts that are older than the one it was built from are deleted.
@@ -43,6 +44,8 @@ def upsert_into(path: str):
     def write(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
         rows = batch.select("host", "session_id", "n_bytes", "receipt_id", F.lit(1).cast("long").alias("notices"))
+        if batch.isEmpty():
+            return
         touched = [r.part for r in rows.select(_part().alias("part")).distinct().collect()]  # PARTS rows at most
         files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         at = lambda *x: spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *x]))
