@@ -16,6 +16,6 @@ def test_every_finding_is_fused(spark, sf):
                 at = (f.trace_id, f.event_id)
                 points[at] = points.get(at, 0) + (len(run) - i) * weight
                 rest[at] = rest.get(at, 1) * (1 - weight * f.confidence)
-    assert {(r.trace_id, r.event_id): r.points for r in catalog.QUERIES["attribute_borda_all"](spark, sf).collect()} == points
-    got = {(r.trace_id, r.event_id): r.confidence for r in catalog.QUERIES["attribute_noisy_or_all"](spark, sf).collect()}
+    assert {(r.trace_id, r.event_id): r.points for r in catalog.QUERIES["attribute_borda"](spark, sf).collect()} == points
+    got = {(r.trace_id, r.event_id): r.confidence for r in catalog.QUERIES["attribute_noisy_or"](spark, sf).collect()}
     assert got.keys() == rest.keys() and all(abs(got[k] - 1 + rest[k]) < 2e-6 for k in got)

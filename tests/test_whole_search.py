@@ -34,7 +34,7 @@ def test_reference_is_the_longest_prefix_of_all_passing_runs(spark):
 
 
 def test_registered_search_takes_all_passing_runs(spark, sf):
-    best = catalog.QUERIES["attribute_best_reference_all"](spark, sf)
+    best = catalog.QUERIES["attribute_best_reference"](spark, sf)
     five = catalog.QUERIES["attribute_best_reference"](spark, sf).select("failed", F.col("aligned").alias("least"))
     assert best.join(five, "failed").where("aligned < least").count() == 0
     assert best.count() == catalog.QUERIES["detect_failed_runs"](spark, sf).where("failed").count()

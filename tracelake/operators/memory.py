@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine
 
 
+#: Rows of a block; a bucket of more is compared in pairs of blocks.
+BLOCK = 4096
+
+
+def _blocks(rows: DataFrame, bucket: str) -> DataFrame:
+    return rows.groupBy(bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+
+
 def neighbours(left: DataFrame, right: DataFrame, bucket: str, k: int, least: float) -> DataFrame:
-    """For each (id, vector) on the left the k nearest on the right in its bucket, by cosine, ties by id."""
-    a = left.select(bucket, F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = right.select(bucket, F.col("id").alias("b"), F.col("vector").alias("vb"))
-    both = a.join(b, bucket).where("a <> b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= least)
+    """For each (id, vector) on the left the k nearest on the right in its bucket, by cosine, ties by id.
+
+    Every pair of a bucket is compared, in blocks of both sides, so that no task holds a large bucket; each
+    block's own first k are cut before the exchange by id.
+    """
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a, b = left.select(bucket, "id", "vector"), right.select(bucket, "id", "vector")
+    n_a, n_b = _blocks(a, bucket).withColumnRenamed("blocks", "na"), _blocks(b, bucket).withColumnRenamed("blocks", "nb")
+    sizes = n_a.join(n_b, bucket)
+    a = a.join(sizes, bucket).select(bucket, F.col("id").alias("a"), F.col("vector").alias("va"), mine("na").alias("i"), every("nb").alias("j"))
+    b = b.join(sizes, bucket).select(bucket, F.col("id").alias("b"), F.col("vector").alias("vb"), mine("nb").alias("j"), every("na").alias("i"))
+    both = a.join(b, [bucket, "i", "j"]).where("a <> b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= least)
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

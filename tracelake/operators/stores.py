@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def append(rows: DataFrame, path: str) -> None:
     """One JSON object a row, after what is there."""
@@ -24,8 +26,8 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def newest_first(rows: DataFrame, order: str, *ties: str) -> DataFrame:
-    """Listing order: newest first; ``place`` is 0-based. The rank is global, for lists that are shown."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc(order), *ties)) - 1)
+    """Listing order: newest first; ``place`` is 0-based."""
+    return numbered(rows, F.desc(order), *ties).withColumn("place", F.col("place").cast("int"))
 
 
 def page(rows: DataFrame, after: int, limit: int) -> DataFrame:

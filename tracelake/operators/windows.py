@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 def _run():
     return Window.partitionBy("trace_id")
 
@@ -57,5 +59,5 @@ def around(runs: DataFrame, marked: DataFrame, k: int) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """Sorted items to annotators in turn. The rank is global, so this is for assignment lists, not for event tables."""
-    return rows.select(key).distinct().select(key, ((F.row_number().over(Window.partitionBy().orderBy(key)) - 1) % n).alias("annotator"))
+    """Sorted items to annotators in turn."""
+    return numbered(rows.select(key).distinct(), key).select(key, (F.col("place") % n).cast("int").alias("annotator"))

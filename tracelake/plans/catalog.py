@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,12 +118,10 @@ def _hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL_SQL = W_FOUND + ", early AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos, phase, event_id, mode_id) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM found), sure AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, phase, event_id, mode_id) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM found), hyp AS (SELECT trace_id, event_id, n - r + 1 AS place, 1.0::DOUBLE AS weight, confidence FROM early UNION ALL SELECT trace_id, event_id, n - r + 1, 0.5::DOUBLE, confidence FROM sure)"
-for _name in ("attribute_borda", "attribute_borda_all"):
-    query(_name, ALL_SQL + " SELECT trace_id, event_id, round(sum(place*weight),6) AS points, round(least(1, sum(weight*confidence)/sum(weight)),6) AS confidence FROM hyp GROUP BY ALL")(
-        lambda s, d: attribute.borda(_hypotheses(s, d)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
-    )
-for _name in ("attribute_noisy_or", "attribute_noisy_or_all"):
-    query(_name, ALL_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(lambda s, d: attribute.noisy_or(_hypotheses(s, d)).withColumn("confidence", F.round("confidence", 6)))
+query("attribute_borda", ALL_SQL + " SELECT trace_id, event_id, round(sum(place*weight),6) AS points, round(least(1, sum(weight*confidence)/sum(weight)),6) AS confidence FROM hyp GROUP BY ALL")(
+    lambda s, d: attribute.borda(_hypotheses(s, d)).select("trace_id", "event_id", F.round("points", 6).alias("points"), F.round("confidence", 6).alias("confidence"))
+)
+query("attribute_noisy_or", ALL_SQL + " SELECT trace_id, event_id, round(1 - product(1 - least(1, greatest(0, weight*confidence))), 6) AS confidence FROM hyp GROUP BY ALL")(lambda s, d: attribute.noisy_or(_hypotheses(s, d)).withColumn("confidence", F.round("confidence", 6)))
 query("attribute_ensemble", ALL_SQL + ", b AS (SELECT trace_id, event_id, sum(place*weight) AS points, sum(weight*confidence) AS mass FROM hyp GROUP BY ALL) SELECT trace_id, event_id, 'ensemble' AS method FROM b QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY points DESC, mass DESC, event_id) = 1 UNION ALL SELECT trace_id, NULL, 'no_hypotheses' FROM (SELECT DISTINCT trace_id FROM evt) WHERE trace_id NOT IN (SELECT trace_id FROM found)")(
     lambda s, d: attribute.ensemble(_hypotheses(s, d), _runs(s, d))
 )
@@ -144,8 +144,7 @@ b AS (SELECT p.failed, p.reference, l.ord, l.pos, l.ord IS NOT NULL AND (r.actio
 diffs AS (SELECT failed, reference, cast(coalesce(min(ord) FILTER (apart), count(ord)) AS int) AS aligned, min(pos) FILTER (apart) AS divergence_step FROM b GROUP BY failed, reference),
 best AS (SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY failed ORDER BY aligned DESC, reference) = 1)"""
 # every passing run is a candidate, and a failed run without tool calls has a row too
-for _name in ("attribute_best_reference", "attribute_best_reference_all"):
-    query(_name, DIFF_SQL + " SELECT * FROM best")(_references)
+query("attribute_best_reference", DIFF_SQL + " SELECT * FROM best")(_references)
 query("attribute_prefix_divergence", DIFF_SQL + " SELECT failed, reference, aligned, divergence_step, CASE WHEN divergence_step IS NULL THEN '' ELSE array_to_string(list_filter([divergence_step - 1, divergence_step, divergence_step + 1], lambda x: x >= 0 AND x < n), ',') END AS candidates FROM best JOIN (SELECT trace_id, count(*) AS n FROM evt GROUP BY 1) z ON z.trace_id = failed")(lambda s, d: attribute.divergence_candidates(_references(s, d), _runs(s, d)))
 query(
     "attribute_counterfactual_candidates",
@@ -211,7 +210,28 @@ query("window_round_robin", "SELECT source, cast((row_number() OVER (ORDER BY so
 
 # --- text, memory, ingest, stores
 
-query("text_scrub")(lambda s, d: scrub.scrub(table(s, d, "documents"), "doc_id", "text"))
+
+
+def _scrubbed() -> str:
+    """The rules one after the other. Where a pattern looks around, its borders are captured, and a second pass takes what shares one."""
+    ctes, counts = ["r0 AS (SELECT doc_id, text FROM documents)"], []
+    for i, (name, pattern, put) in enumerate(scrub.REDACTIONS, 1):
+        bare = re.sub(r"^\(\?<!\[(.*?)\]\)(.*)\(\?!\[.*\]\)$", r"(^|[^\1])(\2)($|[^\1])", pattern)
+        if bare != pattern:
+            once = lambda t, bare=bare, put=put: f"regexp_replace({t}, '{bare}', '\\1{put}\\3', 'g')"
+            new = once(once("text"))
+            ctes.append(f"r{i} AS (SELECT * EXCLUDE (text, before), text, ((length(text) - length(replace(text, '{put}', ''))) - (length(before) - length(replace(before, '{put}', '')))) // {len(put)} AS {name} FROM (SELECT * EXCLUDE (text), text AS before, {new} AS text FROM r{i - 1}))")
+        elif r"\d" in pattern:
+            # letters beyond ASCII are words' characters too: marks that are stand for them at the borders of digits
+            text = r"regexp_replace(text, '([\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{1FFF}\x{2C00}-\x{D7FF}])', 'QzQ\1QzQ', 'g')"
+            ctes.append(f"r{i} AS (SELECT * EXCLUDE (text, marked), len(regexp_extract_all(marked, '{pattern}')) AS {name}, replace(regexp_replace(marked, '{pattern}', '{put}', 'g'), 'QzQ', '') AS text FROM (SELECT *, {text} AS marked FROM r{i - 1}))")
+        else:
+            ctes.append(f"r{i} AS (SELECT * EXCLUDE (text), len(regexp_extract_all(text, '{pattern}')) AS {name}, regexp_replace(text, '{pattern}', '{put.replace('$1', chr(92) + '1')}', 'g') AS text FROM r{i - 1})")
+        counts.append(f"cast({name} AS int) AS {name}")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, text, {', '.join(counts)} FROM r{len(scrub.REDACTIONS)}"
+
+
+query("text_scrub", _scrubbed())(lambda s, d: scrub.scrub(table(s, d, "documents"), "doc_id", "text"))
 query("text_scrub_emails", r"SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b')) AS email, regexp_replace(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '<redacted:email>', 'g') AS text FROM documents")(
     lambda s, d: scrub.scrub(table(s, d, "documents"), "doc_id", "text", tuple(r for r in scrub.REDACTIONS if r[0] == "email"))
 )
