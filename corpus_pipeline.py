@@ -88,8 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages on documents, each written to the shared folder and read again; a stage's table goes once the next is written."""
+    docs, held = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        fresh = Scratch(spark)
+        docs = fresh.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if held:
+            held.drop()
+        held = fresh
     return STAGES[-1][1](spark, docs, sf_dir)
