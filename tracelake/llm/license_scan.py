@@ -55,15 +55,26 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased (in plain ASCII that is what ``lower`` does, faster), null as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def split_words(text: Column) -> Column:
+    """The words of a text; one empty string where there are none."""
+    return F.split(F.trim(F.regexp_replace(lowered(text), BETWEEN, " ")), " ")
+
+
 def spelled(text: Column) -> Column:
-    """The words of a text with a blank before and after each (so that two blanks part them); empty without words."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), BETWEEN, "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    """The words of a text with a blank before and after each, so that two blanks part them; two blanks without words."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(text), BETWEEN, "  ")), F.lit(" "))
 
 
 def _n_words(spelt: Column) -> Column:
     """Two blanks a word."""
-    return F.expr("0L") + F.floor((F.octet_length(spelt) - F.octet_length(F.replace(spelt, F.lit(" "), F.lit("")))) / 2)
+    blanks = F.octet_length(spelt) - F.octet_length(F.replace(spelt, F.lit(" "), F.lit("")))
+    return F.when(F.octet_length(spelt) <= 2, 0).otherwise(F.floor(blanks / 2)).cast("long")
 
 
 def _phrases(rows: DataFrame, phrases: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -95,27 +106,27 @@ def _template_rows(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _blocks(spelt: Column, ordered: Column) -> Column:
+def _blocks(words: Column, ordered: Column) -> Column:
     """The template words of each block of a text, in the global order (that of ``ordered``)."""
     # the words are bound as a lambda's variable, so that they are split once a text
     of = lambda ws: F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - BLOCK) / STEP).cast("int"))),
         lambda i: F.array_intersect(ordered, F.slice(ws, i * STEP + 1, F.lit(BLOCK))),
     )
-    return F.transform(F.array(F.split(F.trim(spelt), "  ")), of)[0]
+    return F.transform(F.array(words), of)[0]
 
 
 def containments(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *, threshold: Fraction = THRESHOLD) -> DataFrame:
     """``(doc_id, sha, template, label, containment)`` of every template that a block of the text holds to ``threshold``.
 
-    ``rows(doc_id, sha, spelt)``; the containment is the share of the template's distinct words in the
+    ``rows(doc_id, sha, text)``; the containment is the share of the template's distinct words in the
     best block. Only template words are ever counted, ordered or joined, so the tables beside the texts
     are as small as the templates.
     """
     num, den = threshold.numerator, threshold.denominator
     plain = _template_rows(rows.sparkSession, templates)
     vocabulary = F.array(*map(F.lit, sorted({w for _, text in templates for w in words_of(text)})))
-    frequency = rows.select(F.explode(F.array_intersect(vocabulary, F.split(F.trim("spelt"), "  "))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequency = rows.select(F.explode(F.array_intersect(vocabulary, split_words(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     counted = plain.select("template", "label", F.explode("tokens").alias("token")).join(frequency, "token", "left").select("template", "label", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token").alias("x"))
     ranked = counted.groupBy("template", "label").agg(F.array_sort(F.collect_list("x"))["token"].alias("needed"))
     ranked = ranked.withColumn("size", F.size("needed")).withColumn("need", F.expr(f"({num} * size + {den - 1}) div {den}").cast("int"))
@@ -123,7 +134,7 @@ def containments(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     order = counted.groupBy().agg(F.array_sort(F.collect_set("x"))["token"].alias("ordered"))
     order = order.crossJoin(index.groupBy().agg(F.collect_set("token").alias("prefixes"), F.min("need").alias("least")))
     # one row, as wide as the templates
-    blocks = rows.crossJoin(F.broadcast(order)).select("doc_id", "sha", "prefixes", F.explode(F.filter(_blocks(F.col("spelt"), F.col("ordered")), lambda b: (F.size(b) >= F.col("least")) & F.arrays_overlap(b, F.col("prefixes")))).alias("held"))
+    blocks = rows.crossJoin(F.broadcast(order)).select("doc_id", "sha", "prefixes", F.explode(F.filter(_blocks(split_words(F.col("text")), F.col("ordered")), lambda b: (F.size(b) >= F.col("least")) & F.arrays_overlap(b, F.col("prefixes")))).alias("held"))
     keyed = blocks.select("doc_id", "sha", "held", F.explode(F.array_intersect("prefixes", "held")).alias("token"))
     # the index has a row for each prefix word of each template
     met = keyed.join(F.broadcast(index), "token").withColumns({"n": F.size("held"), "at": F.array_position("held", F.col("token")) - 1})
@@ -145,9 +156,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     rows of null id are scanned like others; an empty table gives none; other columns are ignored.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha1(F.coalesce(text, F.lit("")).cast("binary")).alias("sha"), spelled(text).alias("spelt"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha1(F.coalesce(text, F.lit("")).cast("binary")).alias("sha"), text.alias("text"))
     found = containments(rows, templates, threshold=threshold).groupBy("doc_id", "sha").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    based = _phrases(rows.withColumn("n_words", _n_words(F.col("spelt"))), phrases).drop("spelt")
+    spelt = rows.select("doc_id", "sha", spelled(F.col("text")).alias("spelt"))
+    based = _phrases(spelt.withColumn("n_words", _n_words(F.col("spelt"))), phrases).drop("spelt")
     a, b = based.alias("a"), found.alias("b")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.sha") == F.col("b.sha")), "left")
     none = F.array().cast("array<string>")
