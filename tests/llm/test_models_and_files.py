@@ -290,6 +290,7 @@ def test_contract_columns(spark, sf):
     want = {
         "op1": "vec_id n_links component_id kept", "op2": "page_id host path rule verdict", "op3": "page_id payload_bytes payload_digest record_type refers_to", "op4": "doc_id held_out score predicted",
         "op5": "doc_id n_words n_hit n_items items_sha256 contaminated", "op6": "doc_id size text_crc32 law shard slot grown_shard", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_tokens ids_sha256 decoded_sha256", "op9": "doc_id n_words n_removed kept_sha256", "op10": "doc_id n_shingles component_id",
+        "op11": "doc_id n_words n_base first_word last_word base_labels labels score", "op12": "anchor_id positive_id rank negative_id positive_score negative_score", "op13": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
     }
     for name, f in queries.QUERIES.items():
         if name.split("_")[0] not in ("op1", "op4"):  # those fit before they return
