@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import repair
 from ..functions.text import cosine
-from ..operators import assembly
+from ..operators import assembly, leaders
 from ..sources import folders
 from ..sources.fixtures import table
 from .events import W, rich
@@ -132,3 +132,16 @@ query("ingest_folder_files", f"WITH {_FOLDER} SELECT concat('in/c', conv_id, CAS
 query("ingest_folder_events", f"""WITH {_FOLDER} SELECT CASE WHEN kind = 3 THEN conv_id::VARCHAR ELSE concat('c', conv_id) END AS trace_id, cast(i AS int) AS pos, CASE WHEN kind = 0 THEN 'llm.call' WHEN kind = 1 THEN 'agent.step' ELSE {_MSG} END AS event_type, CASE WHEN kind IN (2, 3) THEN lower(role) WHEN kind = 4 THEN 'user' ELSE role END AS agent_name, text AS output, CASE kind WHEN 0 THEN 'spans' WHEN 1 THEN 'event_list' WHEN 2 THEN 'message_list' ELSE 'messages' END AS format FROM f WHERE kind IN (1, 3) OR (kind IN (0, 2) AND n > 1)""")(
     lambda s, d: folders.convert(_files(s, d))[0].where("output is not null and output <> ''").select("trace_id", C("pos").cast("int").alias("pos"), "event_type", "agent_name", "output", "format")
 )
+
+# --- clusters by running centroids: the plain walk, row by row, carries all centroids along
+
+query(
+    "taxonomy_vector_clusters",
+    """WITH RECURSIVE v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+w(label, i, ids, ns, cs, id, leader) AS (
+SELECT DISTINCT label, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::DOUBLE[][], NULL::BIGINT, NULL::BIGINT FROM v
+UNION ALL SELECT label, i, CASE WHEN k IS NULL THEN list_append(ids, vec_id) ELSE ids END, CASE WHEN k IS NULL THEN list_append(ns, 1) ELSE list_transform(ns, lambda n, j: CASE WHEN j = k THEN n + 1 ELSE n END) END,
+CASE WHEN k IS NULL THEN list_append(cs, e) ELSE list_transform(cs, lambda c, j: CASE WHEN j = k THEN list_transform(list_zip(c, e), lambda z: (z[1] * ns[k] + z[2]) / (ns[k] + 1)) ELSE c END) END, vec_id, coalesce(ids[k], vec_id)
+FROM (SELECT *, CASE WHEN list_max(sims) >= 0.15 THEN list_position(sims, list_max(sims)) END AS k FROM (SELECT w.label, v.i, ids, ns, cs, vec_id, e, list_transform(cs, lambda c: list_cosine_similarity(c, e)) AS sims FROM w JOIN v ON v.label = w.label AND v.i = w.i + 1)))
+SELECT label AS bucket, 0::BIGINT AS block, id, leader FROM w WHERE id IS NOT NULL""",
+)(lambda s, d: leaders.leader_clusters(table(s, d, "embeddings"), "label", "vec_id", id_col="vec_id", vector_col="embedding", threshold=0.15))

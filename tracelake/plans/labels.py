@@ -47,12 +47,12 @@ _CHOSEN = {
 for _policy, _sql in _CHOSEN.items():
     query(f"labels_{_policy}", f"WITH {_HUMAN_SQL} {_sql}")(lambda s, d, p=_policy: judgement.select_human(_humans(s, d), p))
 
-HUMAN = f"WITH {_HUMAN_SQL}, hum AS ({_CHOSEN['first_human']}), rca AS (SELECT doc_id AS task_id, {_case('doc_id', 5, *[repr(f'E{i}') for i in range(5)])} AS tag, cast(doc_id % 4 AS int) AS step, (doc_id % 9) / 10.0::DOUBLE AS confidence FROM documents WHERE doc_id % 2 = 0), map AS (SELECT * FROM (VALUES ('E0', 'G1'), ('E1', 'G2'), ('E2', 'NONE'), ('E3', 'P3'), ('E4', 'P9')) m(tag, target)) "
+HUMAN = f"WITH {_HUMAN_SQL}, hum AS ({_CHOSEN['first_human']}), rca AS (SELECT doc_id AS task_id, {_case('doc_id', 5, *[repr(f'E{i}') for i in range(5)])} AS tag, cast(doc_id % 4 AS int) AS step, (doc_id % 9) / 10.0::DOUBLE AS confidence FROM documents), map AS (SELECT * FROM (VALUES ('E0', 'G1'), ('E1', 'G2'), ('E2', 'NONE'), ('E3', 'P3'), ('E4', 'P9')) m(tag, target)) "
 
 
 def _rca(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = C("doc_id")
-    return table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(d.alias("task_id"), _pick(d, 5, *[f"E{i}" for i in range(5)]).alias("tag"), (d % 4).cast("int").alias("step"), ((d % 9) / 10).alias("confidence"))
+    return table(spark, sf_dir, "documents").select(d.alias("task_id"), _pick(d, 5, *[f"E{i}" for i in range(5)]).alias("tag"), (d % 4).cast("int").alias("step"), ((d % 9) / 10).alias("confidence"))
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
@@ -101,10 +101,10 @@ query("taxonomy_cluster_terms", OBS + f", t AS (SELECT {_SLUG} AS cluster, unnes
 _SEED_ROWS = [("s1", "planning", "plan repeats without progress"), ("s2", "system", "the environment raised an error"), ("s3", "memory", "loss of context")]
 query(
     "taxonomy_nearest_seed",
-    f"WITH sd AS (SELECT * FROM (VALUES {', '.join(map(str, _SEED_ROWS))}) v(seed, family, text)), w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS x FROM sd), p AS (SELECT conv_id * 1000 + turn AS proposal, {_case('turn', 3, repr('planning'), repr('system'), repr('x'))} AS family, list_filter(list_distinct(regexp_extract_all(lower(concat(left(text, 30), ' plan progress')), '[a-z0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS y FROM conversations), j AS (SELECT proposal, seed, coalesce(len(list_intersect(x, y))::DOUBLE / nullif(len(list_distinct(list_concat(x, y))), 0), 0) + CASE WHEN p.family = w.family THEN 0.05 ELSE 0 END AS s FROM p, w) SELECT proposal, arg_max(seed, struct_pack(a := s, b := seed)) AS seed, round(max(s), 6) AS similarity, max(s) >= 0.6 AS duplicate FROM j GROUP BY 1",
+    f"WITH sd AS (SELECT * FROM (VALUES {', '.join(map(str, _SEED_ROWS))}) v(seed, family, text)), w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS x FROM sd), p AS (SELECT conv_id * 1000 + turn AS proposal, {_case('turn', 3, repr('planning'), repr('system'), repr('x'))} AS family, list_filter(list_distinct(regexp_extract_all(lower(concat(text, ' plan progress')), '[a-z0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS y FROM conversations), j AS (SELECT proposal, seed, coalesce(len(list_intersect(x, y))::DOUBLE / nullif(len(list_distinct(list_concat(x, y))), 0), 0) + CASE WHEN p.family = w.family THEN 0.05 ELSE 0 END AS s FROM p, w) SELECT proposal, arg_max(seed, struct_pack(a := s, b := seed)) AS seed, round(max(s), 6) AS similarity, max(s) >= 0.6 AS duplicate FROM j GROUP BY 1",
 )(
     lambda s, d: judgement.nearest_seed(
-        table(s, d, "conversations").select((C("conv_id") * 1000 + C("turn")).alias("proposal"), _pick(C("turn"), 3, "planning", "system", "x").alias("family"), X.tokens(F.concat(F.substring("text", 1, 30), L(" plan progress"))).alias("words")),
+        table(s, d, "conversations").select((C("conv_id") * 1000 + C("turn")).alias("proposal"), _pick(C("turn"), 3, "planning", "system", "x").alias("family"), X.tokens(F.concat("text", L(" plan progress"))).alias("words")),
         s.createDataFrame(_SEED_ROWS, "seed string, seed_family string, text string").select("seed", "seed_family", X.tokens(C("text")).alias("seed_words")),
     )
 )
@@ -142,10 +142,10 @@ query("lessons_retrieve", "WITH v AS (SELECT vec_id AS id, label, embedding::DOU
     lambda s, d: (lambda v: lessons.retrieve(v.where("id % 50 = 0"), v, 3, 0.2).withColumn("score", F.round("score", 6)))(table(s, d, "embeddings").select(C("vec_id").alias("id"), C("label").alias("bucket"), C("embedding").alias("vector")))
 )
 _ACT = "concat('act', repeat('x', cast(vec_id % 3 AS int)))"
-query("lessons_merged", f"WITH l AS (SELECT vec_id AS id, label AS tag, vec_id % 2 AS app, vec_id % 50 AS created, {_ACT} AS act FROM embeddings WHERE vec_id % 2 = 0 OR vec_id < 100), f AS (SELECT tag, app, act, count(*) AS n FROM l GROUP BY ALL) SELECT tag, cast(app AS int) AS app, count(*) AS n, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT (id % 5)::int AS x FROM l m WHERE m.tag = l.tag AND m.app = l.app)) AS refs, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT (id % 4)::int AS x FROM l m WHERE m.tag = l.tag AND m.app = l.app) WHERE x <> l.tag) AS confusions, arg_max(concat('fix', id), struct_pack(a := created, b := id)) AS corrected_action, (SELECT arg_min(act, struct_pack(a := -n, b := length(act), c := act)) FROM f WHERE f.tag = l.tag AND f.app = l.app) AS failed_action FROM l GROUP BY tag, app")(
+query("lessons_merged", f"WITH l AS (SELECT vec_id AS id, label AS tag, vec_id % 2 AS app, vec_id % 50 AS created, {_ACT} AS act FROM embeddings), f AS (SELECT tag, app, act, count(*) AS n FROM l GROUP BY ALL) SELECT tag, cast(app AS int) AS app, count(*) AS n, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT (id % 5)::int AS x FROM l m WHERE m.tag = l.tag AND m.app = l.app)) AS refs, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT (id % 4)::int AS x FROM l m WHERE m.tag = l.tag AND m.app = l.app) WHERE x <> l.tag) AS confusions, arg_max(concat('fix', id), struct_pack(a := created, b := id)) AS corrected_action, (SELECT arg_min(act, struct_pack(a := -n, b := length(act), c := act)) FROM f WHERE f.tag = l.tag AND f.app = l.app) AS failed_action FROM l GROUP BY tag, app")(
     lambda s, d: (
         lambda i: lessons.merged(
-            table(s, d, "embeddings").where("vec_id % 2 = 0 or vec_id < 100").select(i.alias("id"), C("label").alias("tag"), (i % 2).cast("int").alias("app"), (i % 50).alias("created"), F.array((i % 5).cast("int")).alias("refs"), F.array((i % 4).cast("int")).alias("confusions"), F.concat(L("act"), F.repeat(L("x"), (i % 3).cast("int"))).alias("failed_action"), F.concat(L("fix"), i.cast("string")).alias("corrected_action")),
+            table(s, d, "embeddings").select(i.alias("id"), C("label").alias("tag"), (i % 2).cast("int").alias("app"), (i % 50).alias("created"), F.array((i % 5).cast("int")).alias("refs"), F.array((i % 4).cast("int")).alias("confusions"), F.concat(L("act"), F.repeat(L("x"), (i % 3).cast("int"))).alias("failed_action"), F.concat(L("fix"), i.cast("string")).alias("corrected_action")),
             "tag", "app",
         ).select("tag", "app", "n", F.array_join(C("refs").cast("array<string>"), ",").alias("refs"), F.nullif(F.array_join(C("confusions").cast("array<string>"), ","), L("")).alias("confusions"), "corrected_action", "failed_action")
     )(C("vec_id"))

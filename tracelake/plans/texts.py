@@ -39,7 +39,7 @@ _turn_query("text_terms", f"array_to_string(list_sort(list_distinct({_TERMS})),
 _turn_query("text_merge_tokens", "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2))), ' ')", lambda: F.array_join(F.array_sort(X.tokens(C("text"), "merge")), " "), "tokens")
 _turn_query("text_slug", f"CASE WHEN len({_TERMS}) = 0 THEN 'pattern' ELSE array_to_string(({_TERMS})[1:3], '_') END", lambda: X.slug(C("text")), "slug")
 _turn_query("text_canonical_quote", "concat(trim(" + SPACE.format("translate(text, concat(chr(34), chr(39), '`‘’“”'), '')") + "), ' x')", lambda: T.canonical(F.concat(C("text"), F.lit(' \\"x\\" ... [truncated]'))), "canonical")
-_turn_query("text_record_id", r"regexp_replace(regexp_replace(concat('/', left(text, 20), ' é!'), '[^A-Za-z0-9._-]+', '__', 'g'), '^_+|_+$', '', 'g')", lambda: X.record_id(F.concat(F.lit("/"), F.substring("text", 1, 20), F.lit(" é!"))), "record_id")
+_turn_query("text_record_id", r"regexp_replace(regexp_replace(concat('/', text, ' é!'), '[^A-Za-z0-9._-]+', '__', 'g'), '^_+|_+$', '', 'g')", lambda: X.record_id(F.concat(F.lit("/"), F.col("text"), F.lit(" é!"))), "record_id")
 _turn_query("text_stable_trace_id", "CASE WHEN turn % 2 = 1 THEN concat('aeb_', regexp_replace(regexp_replace(concat('task/', conv_id, ' #', turn), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')) ELSE concat('aeb_row_', lpad(cast(turn + 1 AS varchar), 4, '0'), '_', left(sha1(text), 16)) END", lambda: X.stable_trace_id(F.when(C("turn") % 2 == 1, F.concat(F.lit("task/"), C("conv_id").cast("string"), F.lit(" #"), C("turn").cast("string"))), C("text"), C("turn")), "trace_id")
 _turn_query("text_observation_type", "CASE WHEN regexp_matches(lower(text), 'previous reflections:|current observation:') THEN 'observation' WHEN regexp_matches(lower(text), 'error|exception') THEN 'error' ELSE 'observation' END", lambda: X.observation_type(C("text")), "event_type")
 _turn_query("text_action_type", "CASE WHEN regexp_matches(lower(text), '^(search|click|open|look|go to|goto|use|take|put|cool|heat|clean)') THEN 'tool.call' ELSE 'agent.step' END", lambda: X.action_type(C("text")), "event_type")
