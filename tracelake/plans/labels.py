@@ -151,14 +151,16 @@ query("lessons_merged", f"WITH l AS (SELECT vec_id AS id, label AS tag, vec_id %
     )(C("vec_id"))
 )
 query("lessons_episode_lookup", "SELECT vec_id AS id, ref, e.title FROM (SELECT vec_id, unnest(range(vec_id * 10, vec_id * 10 + vec_id % 4)) AS ref FROM embeddings) LEFT JOIN (SELECT event_id AS ref2, event_type AS title FROM events) e ON e.ref2 = ref")(lambda s, d: lessons.episode_lookup(_lessons(s, d).select("id", "refs"), table(s, d, "events").select(C("event_id").alias("episode_id"), C("event_type").alias("title"))).select("id", "ref", "title"))
-_MERGE = "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM conversations), n AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS j, len(list_filter(a.w, lambda z: NOT list_contains(b.w, z))) AS gain FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn), g AS (SELECT conv_id, turn, count(*) AS n, max(gain) AS gain FROM n WHERE j >= 0.1 GROUP BY ALL) SELECT conv_id * 1000 + turn AS id, CASE WHEN n IS NULL THEN 'ADD' WHEN n > 1 THEN 'MERGE' WHEN gain < 3 THEN 'NOOP' ELSE 'UPDATE' END AS action FROM t LEFT JOIN g USING (conv_id, turn)"
+_MERGE = "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE) AS v FROM conversations), n AS (SELECT a.conv_id, a.turn, coalesce(list_cosine_similarity(a.v, b.v), 0) AS c, len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS j, len(list_filter(a.w, lambda z: NOT list_contains(b.w, z))) AS gain FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn), g AS (SELECT conv_id, turn, count(*) AS n, max(gain) AS gain FROM n WHERE j >= 0.1 AND c >= 0.97 AND NOT isnan(c) GROUP BY ALL) SELECT conv_id * 1000 + turn AS id, CASE WHEN n IS NULL THEN 'ADD' WHEN n > 1 THEN 'MERGE' WHEN gain < 3 THEN 'NOOP' ELSE 'UPDATE' END AS action FROM t LEFT JOIN g USING (conv_id, turn)"
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", (C("conv_id") * 1000 + C("turn")).alias("id"), T.word_set(C("text")).alias("w"))
-    pairs = t.join(t.select("conv_id", C("turn").alias("other"), C("w").alias("y")), "conv_id").where("turn <> other")
-    near = pairs.select("id", T.jaccard(C("w"), C("y")).alias("jaccard"), L(1.0).alias("cosine"), F.size(F.array_except("w", "y")).alias("gain"))
-    return memory.route(lessons.strong_matches(near, 0.85, 0.1), t, "gain")
+    # a turn's vector: how often it has each vowel
+    vowels = F.transform(F.array(*map(L, "aeiou")), lambda c: (F.char_length("text") - F.char_length(F.replace(C("text"), c, L("")))).cast("double"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", (C("conv_id") * 1000 + C("turn")).alias("id"), T.word_set(C("text")).alias("w"), vowels.alias("v"))
+    pairs = t.join(t.select("conv_id", C("turn").alias("other"), C("w").alias("y"), C("v").alias("u")), "conv_id").where("turn <> other")
+    near = pairs.select("id", T.jaccard(C("w"), C("y")).alias("jaccard"), T.cosine(C("v"), C("u")).alias("cosine"), F.size(F.array_except("w", "y")).alias("gain"))
+    return memory.route(lessons.strong_matches(near, 0.97, 0.1), t, "gain")
 
 
 query("lessons_route", _MERGE)(_routed)
