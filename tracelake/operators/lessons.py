@@ -85,3 +85,10 @@ def search_memory(queries: DataFrame, memory: DataFrame, k: int, newest: int = 2
     overlap = F.coalesce(F.try_divide(F.size(F.array_intersect("q", "words")), F.size(F.array_union("q", "words"))), F.lit(0.0))
     rows = queries.select(F.col("id").alias("query"), F.col("words").alias("q")).crossJoin(F.broadcast(recent.select("id", "words"))).where("query <> id").select("query", "id", overlap.alias("score")).where("score > 0")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def matching(records: DataFrame, **equal: object) -> DataFrame:
+    """The records whose named columns have the given values (None: that have none); all without any."""
+    for name, value in equal.items():
+        records = records.where(F.col(name).eqNullSafe(F.lit(value)))
+    return records

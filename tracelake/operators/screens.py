@@ -124,3 +124,12 @@ def cascade(findings: DataFrame, depth: int = 4096) -> DataFrame:
     loose = F.col("lost") | F.col("up").isNotNull()
     order = F.row_number().over(Window.partitionBy("trace_id").orderBy(loose, F.when(~loose, F.col("path")), F.col("step").isNull(), "step", "event_id")) - 1
     return rows.select("trace_id", "event_id", order.alias("place"), F.when(~loose, F.col("depth")).alias("depth"))
+
+
+def debugger_refs(files: DataFrame) -> DataFrame:
+    """``(trial, task_id, model, root_error_step, taxonomy_tag, evidence, correction)`` of analyses ``files(trial, task_id, value)``; what isn't a JSON object is left out."""
+    p = F.try_parse_json("value")
+    rows = files.withColumn("p", p).where(F.schema_of_variant("p").startswith("OBJECT"))
+    of = lambda k, kind="string": F.try_variant_get("p", f"$.{k}", kind)
+    blank = F.lit("")
+    return rows.select("trial", "task_id", F.coalesce(F.nullif(of("model"), blank), "trial").alias("model"), of("root_error_step", "int").alias("root_error_step"), of("taxonomy_tag").alias("taxonomy_tag"), F.coalesce(of("evidence"), blank).alias("evidence"), F.coalesce(of("correction"), blank).alias("correction"))

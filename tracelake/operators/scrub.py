@@ -58,3 +58,14 @@ def totals(scrubbed: DataFrame, rules=REDACTIONS) -> DataFrame:
     for n, _, _ in rules:
         some = some | (F.coalesce(n, F.lit(0)) > 0)
     return scrubbed.agg(*counts, F.count_if(some).alias("rows_touched"))
+
+
+#: Formats that are read from a host's own log, which holds whatever was pasted or printed.
+HOST_FORMATS = ("rollout", "session_records")
+
+
+def redact_hosts(events: DataFrame, rules=REDACTIONS) -> DataFrame:
+    """Events with ``output`` and ``error`` scrubbed where ``format`` is a host's log; exports that users give stay as they are."""
+    host = F.coalesce(F.col("format").isin(*HOST_FORMATS), F.lit(False))
+    scrubbed = lambda c: F.when(host, scrub_text(F.col(c), rules)).otherwise(F.col(c))
+    return events.withColumns({"output": scrubbed("output"), "error": scrubbed("error")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import repair
 from ..functions.text import cosine
-from ..operators import assembly, leaders
+from ..operators import assembly, leaders, lessons, screens
 from ..sources import folders
 from ..sources.fixtures import table
 from .events import W, rich
@@ -145,3 +145,10 @@ CASE WHEN k IS NULL THEN list_append(cs, e) ELSE list_transform(cs, lambda c, j:
 FROM (SELECT *, CASE WHEN list_max(sims) >= 0.15 THEN list_position(sims, list_max(sims)) END AS k FROM (SELECT w.label, v.i, ids, ns, cs, vec_id, e, list_transform(cs, lambda c: list_cosine_similarity(c, e)) AS sims FROM w JOIN v ON v.label = w.label AND v.i = w.i + 1)))
 SELECT label AS bucket, 0::BIGINT AS block, id, leader FROM w WHERE id IS NOT NULL""",
 )(lambda s, d: leaders.leader_clusters(table(s, d, "embeddings"), "label", "vec_id", id_col="vec_id", vector_col="embedding", threshold=0.15))
+
+# --- records by equality, and analyses of several trials
+
+query("lessons_matching", "SELECT event_id, event_type, user_id % 5 AS app FROM events WHERE event_type = 'click' AND user_id % 5 = 2")(lambda s, d: lessons.matching(table(s, d, "events").select("event_id", "event_type", (C("user_id") % 5).alias("app")), event_type="click", app=2))
+query("screen_debugger_refs", "SELECT concat('trial', turn) AS trial, conv_id AS task_id, CASE WHEN turn % 2 = 0 THEN role ELSE concat('trial', turn) END AS model, CASE WHEN turn % 4 <> 2 THEN cast(length(text) AS int) END AS root_error_step, 'E1' AS taxonomy_tag, text AS evidence, '' AS correction FROM conversations WHERE turn % 5 < 3")(
+    lambda s, d: screens.debugger_refs(table(s, d, "conversations").select(F.concat(L("trial"), C("turn").cast("string")).alias("trial"), C("conv_id").alias("task_id"), F.when(C("turn") % 5 == 3, L("[1]")).when(C("turn") % 5 == 4, L('{"cut')).otherwise(F.to_json(F.struct(F.when(C("turn") % 2 == 0, C("role")).otherwise(L("")).alias("model"), F.when(C("turn") % 4 != 2, F.char_length("text")).alias("root_error_step"), L("E1").alias("taxonomy_tag"), C("text").alias("evidence")))).alias("value")))
+)

@@ -231,6 +231,9 @@ def _scrubbed() -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, text, {', '.join(counts)} FROM r{len(scrub.REDACTIONS)}"
 
 
+query("ingest_host_redacted", f"SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN s.text ELSE d.text END AS output, CASE WHEN d.doc_id % 2 = 0 THEN 'mail <redacted:email>' ELSE 'mail a@b.org' END AS error FROM documents d JOIN ({_scrubbed()}) s ON s.doc_id = d.doc_id")(
+    lambda s, d: scrub.redact_hosts(table(s, d, "documents").select("doc_id", F.col("text").alias("output"), F.lit("mail a@b.org").alias("error"), F.when(F.col("doc_id") % 2 == 1, "messages").when(F.col("doc_id") % 4 == 0, "rollout").otherwise("session_records").alias("format"))).drop("format")
+)
 query("text_scrub", _scrubbed())(lambda s, d: scrub.scrub(table(s, d, "documents"), "doc_id", "text"))
 query("text_scrub_emails", r"SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b')) AS email, regexp_replace(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '<redacted:email>', 'g') AS text FROM documents")(
     lambda s, d: scrub.scrub(table(s, d, "documents"), "doc_id", "text", tuple(r for r in scrub.REDACTIONS if r[0] == "email"))

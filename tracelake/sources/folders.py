@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scrub import redact_hosts
 from . import exports, ingest
 from .exports import EVENT, get, has
 
@@ -69,6 +70,7 @@ def convert(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``lines(file, line, value)``: a file's lines, or its whole text as one. A trace is named by its payload
     (trace_id, trajectory_id, task_id, id), else by the file; files of one name that lie in different
     folders have to name their traces themselves. A file with an error has no events and stops no other.
+    Hosts' own logs are redacted.
     """
     files = formats(lines)
     rows = lines.where(F.col("value").rlike(r"\S")).join(files.where("error is null").select("file", "format"), "file")
@@ -86,7 +88,7 @@ def convert(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = None
     for name, projection in PROJECTIONS.items():
         mine = (logs if name in LOGS else payloads).where(F.col("format") == name)
-        events = projection(mine).select(*EVENT).withColumn("format", F.lit(name))
+        events = redact_hosts(projection(mine).select(*EVENT).withColumn("format", F.lit(name)))
         out = events if out is None else out.unionByName(events)
     return out, files
 
