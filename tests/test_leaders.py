@@ -42,3 +42,44 @@ def test_clusters_are_those_of_the_plain_walk(spark, block):
     assert {r.id: (r.bucket, r.block, r.leader) for r in got} == want and len(got) == len(rows)
     assert len({w[2] for w in want.values()}) < len(rows) * 0.8
     assert leaders.leader_clusters(df.limit(0), "kind", "at").count() == 0
+
+
+def jaccard_walk(labels, rows, threshold):
+    """labels: {name: tokens} in order; rows in order: (id, tokens)."""
+    clusters, out = [[n, set(t)] for n, t in labels.items()], {}
+    for i, tokens in rows:
+        best, like = None, 0.0
+        for c in clusters:
+            s = len(c[1] & tokens) / len(c[1] | tokens) if c[1] and tokens else 0.0
+            if s > like:
+                best, like = c, s
+        if best is not None and like >= threshold:
+            best[1] |= tokens
+            out[i] = best[0]
+        else:
+            clusters.append([i, set(tokens)])
+            out[i] = i
+    return out
+
+
+@pytest.mark.parametrize("block", [9, 1000])
+def test_words_cluster_like_the_plain_walk(spark, block):
+    rng = random.Random(block)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"{i:03}", "ab"[i % 4 == 0], rng.randrange(40), rng.choice([None, None, None, "l1", "l2"]), rng.sample(words, rng.randrange(0, 7))) for i in range(140)]
+    df = spark.createDataFrame([*rows, (None, "a", 1, None, ["w1"]), ("900", None, 1, None, ["w1"]), ("901", "b", 99, None, None)], "id string, bucket string, ord int, label string, tokens array<string>").repartition(3)
+    rows.append(("901", "b", 99, None, []))
+    want = {}
+    for bucket in "ab":
+        mine = sorted((r for r in rows if r[1] == bucket), key=lambda r: (r[2], r[0]))
+        labels = {}
+        for r in mine:
+            if r[3]:
+                labels.setdefault(r[3], set()).update(r[4])
+                want[r[0]] = (bucket, 0, r[3])
+        alone = [(r[0], set(r[4])) for r in mine if not r[3]]
+        for a in range(0, len(alone), block):
+            want |= {i: (bucket, a // block, c) for i, c in jaccard_walk(labels, alone[a : a + block], 0.28).items()}
+    got = leaders.lexical_clusters(df, block=block).collect()
+    assert {r.id: (r.bucket, r.block, r.cluster) for r in got} == want and len(got) == len(rows)
+    assert leaders.lexical_clusters(df.limit(0)).count() == 0

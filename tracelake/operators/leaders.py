@@ -1,4 +1,4 @@
-"""Leader clustering: each row joins the most similar running centroid, or leads a cluster of its own."""
+"""Leader clustering: each row joins the most similar running centroid, or the most similar growing token set, or leads a cluster of its own."""
 
 from __future__ import annotations
 
@@ -45,6 +45,13 @@ class Leaders:
         return id_
 
 
+def _in_blocks(known: DataFrame, block: int) -> DataFrame:
+    """``(bucket, ord, id, block)``: the keys in order within their bucket, cut into blocks. Places are by ranges, so no task sorts a bucket."""
+    keys = numbered(known.select("bucket", "ord", "id").distinct(), "bucket", "ord", "id")
+    first = keys.groupBy("bucket").agg(F.min("place").alias("first"))
+    return keys.join(first, "bucket").select("bucket", "ord", "id", F.floor((F.col("place") - F.col("first")) / block).cast("long").alias("block"))
+
+
 def leader_clusters(rows: DataFrame, bucket: str, order: str, *, id_col: str = "id", vector_col: str = "vector", threshold: float = 0.6, block: int = BLOCK) -> DataFrame:
     """``(bucket, block, id, leader)``: each row's cluster, named by the row that leads it, rows taken in ``order`` (ties by id).
 
@@ -56,10 +63,7 @@ def leader_clusters(rows: DataFrame, bucket: str, order: str, *, id_col: str = "
     """
     kind, place = rows.schema[id_col].dataType.simpleString(), rows.schema[bucket].dataType.simpleString()
     known = rows.select(F.col(bucket).alias("bucket"), F.col(order).alias("ord"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("bucket is not null and id is not null and vector is not null")
-    # places are given to keys only, by ranges; vectors meet their block afterwards
-    keys = numbered(known.select("bucket", "ord", "id").distinct(), "bucket", "ord", "id")
-    first = keys.groupBy("bucket").agg(F.min("place").alias("first"))
-    ranked = keys.join(first, "bucket").select("bucket", "ord", "id", F.floor((F.col("place") - F.col("first")) / block).cast("long").alias("block"))
+    ranked = _in_blocks(known, block)
     dealt = known.join(ranked, ["bucket", "id", "ord"]).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "ord", "id").select("bucket", "block", "id", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,3 +79,75 @@ def leader_clusters(rows: DataFrame, bucket: str, order: str, *, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, batch.column(2).type)], names=["bucket", "block", "id", "leader"])
 
     return dealt.mapInArrow(run, f"bucket {place}, block long, id {kind}, leader {kind}")
+
+
+class Growing:
+    """Clusters as growing token sets, found by an inverted index."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.names, self.sizes, self.index = threshold, [], [], {}
+
+    def _add(self, at: int, tokens: set[str]) -> None:
+        for t in tokens:
+            held = self.index.setdefault(t, set())
+            if at not in held:
+                held.add(at)
+                self.sizes[at] += 1
+
+    def open(self, name: str, tokens: set[str]) -> str:
+        self.names.append(name)
+        self.sizes.append(0)
+        self._add(len(self.names) - 1, tokens)
+        return name
+
+    def place(self, name: str, tokens: set[str]) -> str:
+        """The cluster of most overlap (of equals the first), which takes the tokens; one of its own below the threshold."""
+        shared: dict[int, int] = {}
+        for t in tokens:
+            for at in self.index.get(t, ()):
+                shared[at] = shared.get(at, 0) + 1
+        best = max(shared, key=lambda at: (shared[at] / (len(tokens) + self.sizes[at] - shared[at]), -at), default=None)
+        if best is None or shared[best] / (len(tokens) + self.sizes[best] - shared[best]) < self.threshold:
+            return self.open(name, tokens)
+        self._add(best, tokens)
+        return self.names[best]
+
+
+def lexical_clusters(rows: DataFrame, *, threshold: float = 0.28, block: int = BLOCK) -> DataFrame:
+    """``(bucket, block, id, cluster)`` of observations ``(bucket, ord, id, label, tokens)``.
+
+    Rows with a label are its cluster (block 0). The others are taken in order (ties by id): each joins the
+    cluster whose tokens overlap most by Jaccard, if that reaches the threshold, and adds its own; labels'
+    clusters come first (by their first row), then the ones that opened. A cluster without a label is named
+    by the id that opened it. A bucket of more than ``block`` unlabelled rows is cut into blocks of so many
+    in order: each starts from the labels' clusters and knows nothing of what the others opened. A task
+    streams its rows and holds one block's token sets. Rows of null id or bucket take no part, null tokens
+    are none; an empty table gives none.
+    """
+    place = rows.schema["bucket"].dataType.simpleString()
+    none = F.array().cast("array<string>")
+    known = rows.where("bucket is not null and id is not null").select("bucket", "ord", F.col("id").cast("string").alias("id"), "label", F.coalesce("tokens", none).alias("tokens"))
+    labelled, alone = known.where("label is not null"), known.where("label is null").drop("label")
+    # a label's tokens are as many as its vocabulary has words
+    seen = labelled.groupBy("bucket", "label").agg(F.min(F.struct("ord", "id")).alias("seen"))
+    held = labelled.select("bucket", "label", F.explode("tokens").alias("token")).distinct().groupBy("bucket", "label").agg(F.collect_set("token").alias("tokens"))
+    sets = seen.join(held, ["bucket", "label"], "left").select("bucket", "label", "seen", F.coalesce("tokens", none).alias("tokens"))
+    ranked = _in_blocks(alone, block)
+    dealt = alone.join(ranked, ["bucket", "ord", "id"]).select("bucket", "block", F.lit(1).alias("phase"), "ord", "id", "tokens")
+    first = sets.join(ranked.select("bucket", "block").distinct(), "bucket").select("bucket", "block", F.lit(0).alias("phase"), F.col("seen.ord").alias("ord"), F.col("seen.id").alias("by"), F.col("label").alias("id"), "tokens")
+    both = first.unionByName(dealt.withColumn("by", F.col("id"))).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "phase", "ord", "by")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, clusters = None, None
+        for batch in batches:
+            c = batch.to_pydict()
+            out = []
+            for i, key in enumerate(zip(c["bucket"], c["block"], strict=True)):
+                if key != now:
+                    now, clusters = key, Growing(threshold)
+                out.append((clusters.place if c["phase"][i] else clusters.open)(c["id"][i], set(c["tokens"][i])))
+            told = pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("block"), batch.column("id"), pa.array(out, pa.string())], names=["bucket", "block", "id", "cluster"])
+            yield told.filter(pa.array([p == 1 for p in c["phase"]], pa.bool_()))
+
+    found = both.select("bucket", "block", "phase", "id", "tokens").mapInArrow(run, f"bucket {place}, block long, id string, cluster string")
+    return found.unionByName(labelled.select("bucket", F.lit(0).cast("long").alias("block"), "id", F.col("label").alias("cluster")))

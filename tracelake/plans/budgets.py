@@ -152,3 +152,20 @@ query("lessons_matching", "SELECT event_id, event_type, user_id % 5 AS app FROM
 query("screen_debugger_refs", "SELECT concat('trial', turn) AS trial, conv_id AS task_id, CASE WHEN turn % 2 = 0 THEN role ELSE concat('trial', turn) END AS model, CASE WHEN turn % 4 <> 2 THEN cast(length(text) AS int) END AS root_error_step, 'E1' AS taxonomy_tag, text AS evidence, '' AS correction FROM conversations WHERE turn % 5 < 3")(
     lambda s, d: screens.debugger_refs(table(s, d, "conversations").select(F.concat(L("trial"), C("turn").cast("string")).alias("trial"), C("conv_id").alias("task_id"), F.when(C("turn") % 5 == 3, L("[1]")).when(C("turn") % 5 == 4, L('{"cut')).otherwise(F.to_json(F.struct(F.when(C("turn") % 2 == 0, C("role")).otherwise(L("")).alias("model"), F.when(C("turn") % 4 != 2, F.char_length("text")).alias("root_error_step"), L("E1").alias("taxonomy_tag"), C("text").alias("evidence")))).alias("value")))
 )
+
+# --- clusters by words: labels first, then the plain walk over the rest
+
+_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+query(
+    "taxonomy_lexical_clusters",
+    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT (conv_id % 7)::INT AS bucket, conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 AND conv_id % 2 = 0 THEN role END AS label, {_WORDS} AS x FROM conversations),
+lab AS (SELECT bucket, label, min(id) AS seen, list_distinct(flatten(list(x))) AS x FROM o WHERE label IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS i FROM o WHERE label IS NULL),
+w(bucket, i, names, xs, id, cluster) AS (
+SELECT b.bucket, 0::BIGINT, coalesce(l.names, []::VARCHAR[]), coalesce(l.xs, []::VARCHAR[][]), NULL::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT bucket FROM v) b LEFT JOIN (SELECT bucket, list(label ORDER BY seen) AS names, list(x ORDER BY seen) AS xs FROM lab GROUP BY 1) l USING (bucket)
+UNION ALL SELECT bucket, i, CASE WHEN k IS NULL THEN list_append(names, id::VARCHAR) ELSE names END, CASE WHEN k IS NULL THEN list_append(xs, x) ELSE list_transform(xs, lambda y, j: CASE WHEN j = k THEN list_distinct(list_concat(y, x)) ELSE y END) END, id, coalesce(names[k], id::VARCHAR)
+FROM (SELECT *, CASE WHEN list_max(s) >= 0.28 THEN list_position(s, list_max(s)) END AS k FROM (SELECT w.bucket, v.i, names, xs, v.id, x, list_transform(xs, lambda y: coalesce(len(list_intersect(y, x))::DOUBLE / nullif(len(y) + len(x) - len(list_intersect(y, x)), 0), 0)) AS s FROM w JOIN v ON v.bucket = w.bucket AND v.i = w.i + 1)))
+SELECT bucket, 0::BIGINT AS block, id::VARCHAR AS id, cluster FROM w WHERE id IS NOT NULL UNION ALL SELECT bucket, 0, id::VARCHAR, label FROM o WHERE label IS NOT NULL""",
+)(
+    lambda s, d: leaders.lexical_clusters(table(s, d, "conversations").select((C("conv_id") % 7).cast("int").alias("bucket"), (C("conv_id") * 1000 + C("turn")).alias("ord"), (C("conv_id") * 1000 + C("turn")).alias("id"), F.when((C("turn") % 3 == 0) & (C("conv_id") % 2 == 0), C("role")).alias("label"), F.array_distinct(F.regexp_extract_all(F.lower("text"), L("[a-z0-9]+"), L(0))).alias("tokens")))
+)
