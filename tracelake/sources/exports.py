@@ -19,6 +19,8 @@ SILENT_MESSAGES = ("agent_reasoning", "agent_reasoning_raw_content", "token_coun
 CALLS = ("function_call", "custom_tool_call", "local_shell_call")
 OUTPUTS = ("function_call_output", "custom_tool_call_output")
 ROLES = ("system", "user", "assistant", "tool", "environment")
+#: Fixed value: the schema that each record of a runtime log names.
+RUNTIME_SCHEMA = "openclaw-trajectory"
 
 
 def get(v: str | Column, *paths: str, kind: str = "string") -> Column:
@@ -45,6 +47,16 @@ def _all(items: Column, test) -> Column:
     return F.coalesce((F.size(items) > 0) & F.forall(items, test), F.lit(False))
 
 
+def is_transcript(r: Column) -> Column:
+    """A transcript's header, or one of its messages."""
+    text = lambda path: F.schema_of_variant(F.try_variant_get(r, path, "variant")) == "STRING"
+    return F.coalesce((get(r, "type") == "session") & text("$.id"), F.lit(False)) | F.coalesce((get(r, "type") == "message") & text("$.message.role"), F.lit(False))
+
+
+def is_runtime(r: Column) -> Column:
+    return F.coalesce(get(r, "traceSchema") == RUNTIME_SCHEMA, F.lit(False))
+
+
 def detect_format(payload: str = "payload") -> Column:
     """The first shape that a payload has; null if it has none."""
     p, items = F.col(payload), _list(payload)
@@ -60,7 +72,7 @@ def detect_format(payload: str = "payload") -> Column:
     )
     listed = (
         F.when(F.size(items) == 0, "message_list").when(_all(items, shop), "shop_pages").when(_all(items, crew), "crew_events").when(_all(items, graph), "graph_callbacks")
-        .when(F.exists(items, lambda x: has(x, "sessionId") & has(x, "message")), "session_records").when(_all(items, lambda x: has(x, "role", "content")), "message_list")
+        .when(F.exists(items, lambda x: has(x, "sessionId") & has(x, "message")), "session_records").when(_all(items, is_runtime), "agent_runtime").when(F.exists(items, is_transcript), "agent_session").when(_all(items, lambda x: has(x, "role", "content")), "message_list")
         .when(_all(items, lambda x: has(x, "event_type", "type")), "event_list").when(_all(items, lambda x: has(x, "span_id", "trace_id", "name")), "spans")
     )
     return F.when(items.isNotNull(), listed).otherwise(whole)
