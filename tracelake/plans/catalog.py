@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import attribute, detect, evaluate, memory, overview, recover, rules, scrub, windows
 from ..sources import exports, ingest
 from ..sources.fixtures import EVT_SQL, conversation_runs, event_runs, table
-from . import agent_logs, budgets, events, evidences, imports, labels, more, texts, views, wires  # noqa: F401
+from . import agent_logs, budgets, events, evidences, imports, labels, more, reruns, texts, views, wires  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 BUDGET = 65

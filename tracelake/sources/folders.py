@@ -97,16 +97,24 @@ def convert(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, files
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """``(file, line, value)`` of a folder's ``.json`` files (each whole) and ``.jsonl`` files (by lines), at any depth; files of no bytes have no lines."""
-    reader = lambda glob: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    path = F.col("_metadata.file_path").alias("file")
-    whole = reader("*.json").text(folder, wholetext=True).select(path, F.lit(0).cast("long").alias("line"), "value")
+def numbered_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """``(file, line, value)`` of a folder's text files of such names, at any depth, lines numbered from 1."""
     # numbers rise within a split, and splits by their start: together a file's order
     start, number = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    lines = reader("*.jsonl").text(folder).select(path, start.alias("start"), number.alias("number"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder).select(F.col("_metadata.file_path").alias("file"), start.alias("start"), number.alias("number"), "value")
     at = F.row_number().over(Window.partitionBy("file").orderBy("start", "number"))
-    return whole.unionByName(lines.select("file", at.cast("long").alias("line"), "value"))
+    return lines.select("file", at.cast("long").alias("line"), "value")
+
+
+def whole_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """``(file, value)`` of a folder's text files of such names, at any depth."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, line, value)`` of a folder's ``.json`` files (each whole) and ``.jsonl`` files (by lines), at any depth; files of no bytes have no lines."""
+    whole = whole_files(spark, folder, "*.json").select("file", F.lit(0).cast("long").alias("line"), "value")
+    return whole.unionByName(numbered_lines(spark, folder))
 
 
 def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
