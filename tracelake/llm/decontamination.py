@@ -23,6 +23,9 @@ K = 5
 #: Bits of the filter that documents test their fingerprints with before they leave the task. Its
 #: size is fixed (2 MB); a larger benchmark lets more pass, and the join decides.
 FILTER_BITS = 1 << 24
+#: A key with more hits than this many, or than one in HEAVY_KEYS of all, is dealt over several tasks; so there
+#: are at most HEAVY_KEYS of them.
+HOT_ROWS, HEAVY_KEYS = 10_000, 100_000
 
 
 def _whole(w: tk.Words, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +107,32 @@ def _longest(words: list[str], lead: int, other: list[str], other_lead: int, n:
     return back, on
 
 
+def _keyed(rows: DataFrame, side: int) -> DataFrame:
+    """Rows by ``key``: a whole short item's hash, else the fingerprint with the ``side`` words after it, and with those before it.
+
+    A run of ``span`` equal words around a fingerprint of K has half of its other words on one side at
+    least, so it meets by one of the two keys; a phrase of K words that is everywhere isn't a key itself.
+    """
+    words = lambda start: F.slice("words", start, side)
+    after = F.when(F.size("words") >= F.col("lead") + K + side, F.xxhash64(F.lit(1), "h", words(F.col("lead") + K + 1)))
+    before = F.when(F.col("lead") >= side, F.xxhash64(F.lit(2), "h", words(F.col("lead") - side + 1)))
+    keys = F.when((F.col("size") < 0) | F.lit(side == 0), F.array("h")).otherwise(F.array_compact(F.array(after, before)))
+    return rows.select("*", F.explode(keys).alias("key")).drop("h")
+
+
+def _met(hits: DataFrame, prints: DataFrame) -> DataFrame:
+    """Hits and prints of equal keys. A heavy key's hits are dealt by document and place, and its prints go to each share."""
+    counts = hits.groupBy("key").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, -(-total // HEAVY_KEYS))
+    # fewer than total / most keys, so never more than HEAVY_KEYS
+    heavy = F.broadcast(counts.where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("shares")))
+    dealt = lambda df: df.join(heavy, "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    hits = dealt(hits).withColumn("share", F.pmod(F.xxhash64("doc_id", "at"), F.col("shares").cast("long")).cast("int")).drop("shares")
+    prints = dealt(prints).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return hits.join(prints, ["key", "share"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = 10) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
@@ -143,8 +172,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     scanned = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(scan, f"id {kind}, {_OUT}")
     scanned = table(scanned.withColumnRenamed("id", "doc_id"), "benchmark-hits")
 
-    theirs = prints.select("h", F.col("id").alias("item_id"), F.col("size").alias("isize"), F.col("words").alias("iwords"), F.col("lead").alias("ilead"))
-    met = scanned.where("h is not null and doc_id is not null").select("doc_id", "h", "at", "size", "words", "lead").join(theirs, "h").where("size = isize")
+    side = max(0, -(-(span - K) // 2))
+    theirs = _keyed(prints.select("h", F.col("id").alias("item_id"), "size", "words", "lead"), side).select("key", "item_id", F.col("size").alias("isize"), F.col("words").alias("iwords"), F.col("lead").alias("ilead"))
+    ours = _keyed(scanned.where("h is not null and doc_id is not null").select("doc_id", "h", "at", "size", "words", "lead"), side)
+    met = _met(ours, theirs).where("size = isize")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
