@@ -68,3 +68,14 @@ def test_a_bucket_of_thousands_is_compared_by_products(spark):
     assert memory.neighbours(df, df, "g", 3, 0.2).count() == 18000
     # 36 million pairs; by a row a pair they took minutes
     assert time.monotonic() - began < 45
+
+
+def test_many_queries_meet_a_bucket_of_lessons_by_products(spark):
+    rng = random.Random(6)
+    rows = [(i, 0, [rng.gauss(0, 1) for _ in range(16)]) for i in range(30000)]
+    df = spark.createDataFrame(rows, "id int, bucket int, vector array<double>").repartition(4).cache()
+    df.count()
+    began = time.monotonic()
+    assert lessons.retrieve(df.where("id % 20 = 0"), df, 3, 0.2).count() == 4500
+    # 45 million pairs
+    assert time.monotonic() - began < 45

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from .memory import neighbours
 
 # Categories, and what an action or an application adds to their weights (1 each).
 CATEGORIES = ("Perception", "Grounding & Interaction", "Task Reasoning & Control", "External / System")
@@ -36,10 +36,8 @@ def ranked(lessons: DataFrame, excluded: DataFrame, key: str, k: int) -> DataFra
 
 
 def retrieve(queries: DataFrame, lessons: DataFrame, k: int, least: float) -> DataFrame:
-    """The k nearest lessons of each query at ``least`` or more. Queries are few and stated; they meet the lessons in their bucket."""
-    rows = queries.select(F.col("id").alias("query"), "bucket", F.col("vector").alias("q")).join(lessons.select("id", "bucket", "vector"), "bucket").where("query <> id")
-    rows = rows.select("query", "id", cosine(F.col("q"), F.col("vector")).alias("score")).where(F.col("score") >= least)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    """The k nearest lessons of each query at ``least`` or more; queries meet all lessons of their bucket, in blocks."""
+    return neighbours(queries, lessons, "bucket", k, least).select(F.col("a").alias("query"), F.col("b").alias("id"), F.col("cosine").alias("score"), "rank")
 
 
 def strong_matches(pairs: DataFrame, cosine_gate: float = 0.85, jaccard_gate: float = 0.45) -> DataFrame:
