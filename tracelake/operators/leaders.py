@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +46,18 @@ class Leaders:
         return id_
 
 
-def _in_blocks(known: DataFrame, block: int) -> DataFrame:
-    """``(bucket, ord, id, block)``: the keys in order within their bucket, cut into blocks. Places are by ranges, so no task sorts a bucket."""
+def _in_blocks(known: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """``(bucket, ord, id, block, part)`` and how many parts there are: the keys in order within their bucket, cut into blocks.
+
+    Places are by ranges, so no task sorts a bucket. A part holds the blocks that begin within an eighth of a
+    block's rows in the whole order: a full block and what small ones begin beside it, or small ones only.
+    """
     keys = numbered(known.select("bucket", "ord", "id").distinct(), "bucket", "ord", "id")
     first = keys.groupBy("bucket").agg(F.min("place").alias("first"))
-    return keys.join(first, "bucket").select("bucket", "ord", "id", F.floor((F.col("place") - F.col("first")) / block).cast("long").alias("block"))
+    at = F.floor((F.col("place") - F.col("first")) / block).cast("long")
+    span = max(1, block // 8)
+    placed = keys.join(first, "bucket").select("bucket", "ord", "id", at.alias("block"), F.floor((F.col("first") + at * block) / span).cast("int").alias("part"))
+    return placed, keys.count() // span + 1
 
 
 def leader_clusters(rows: DataFrame, bucket: str, order: str, *, id_col: str = "id", vector_col: str = "vector", threshold: float = 0.6, block: int = BLOCK) -> DataFrame:
@@ -63,8 +71,8 @@ def leader_clusters(rows: DataFrame, bucket: str, order: str, *, id_col: str = "
     """
     kind, place = rows.schema[id_col].dataType.simpleString(), rows.schema[bucket].dataType.simpleString()
     known = rows.select(F.col(bucket).alias("bucket"), F.col(order).alias("ord"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("bucket is not null and id is not null and vector is not null")
-    ranked = _in_blocks(known, block)
-    dealt = known.join(ranked, ["bucket", "id", "ord"]).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "ord", "id").select("bucket", "block", "id", "vector")
+    ranked, parts = _in_blocks(known, block)
+    dealt = known.join(ranked, ["bucket", "id", "ord"]).repartitionById(parts, F.col("part")).sortWithinPartitions("bucket", "block", "ord", "id").select("bucket", "block", "id", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaders = None, None
@@ -82,32 +90,40 @@ def leader_clusters(rows: DataFrame, bucket: str, order: str, *, id_col: str = "
 
 
 class Growing:
-    """Clusters as growing token sets, found by an inverted index."""
+    """Clusters as growing token sets, found by an inverted index: a token's clusters are an array of their numbers."""
 
     def __init__(self, threshold: float):
-        self.threshold, self.names, self.sizes, self.index = threshold, [], [], {}
+        self.threshold, self.names, self.held, self.index, self.sizes = threshold, [], [], {}, np.zeros(16, np.int64)
 
     def _add(self, at: int, tokens: set[str]) -> None:
-        for t in tokens:
-            held = self.index.setdefault(t, set())
-            if at not in held:
-                held.add(at)
-                self.sizes[at] += 1
+        fresh = tokens - self.held[at]
+        self.held[at] |= fresh
+        self.sizes[at] += len(fresh)
+        for t in fresh:
+            own = self.index.get(t)
+            if own is None:
+                own = self.index[t] = array("q")
+            own.append(at)
 
     def open(self, name: str, tokens: set[str]) -> str:
+        if len(self.names) == len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.names.append(name)
-        self.sizes.append(0)
+        self.held.append(set())
         self._add(len(self.names) - 1, tokens)
         return name
 
     def place(self, name: str, tokens: set[str]) -> str:
         """The cluster of most overlap (of equals the first), which takes the tokens; one of its own below the threshold."""
-        shared: dict[int, int] = {}
-        for t in tokens:
-            for at in self.index.get(t, ()):
-                shared[at] = shared.get(at, 0) + 1
-        best = max(shared, key=lambda at: (shared[at] / (len(tokens) + self.sizes[at] - shared[at]), -at), default=None)
-        if best is None or shared[best] / (len(tokens) + self.sizes[best] - shared[best]) < self.threshold:
+        known = [np.frombuffer(self.index[t], np.int64) for t in tokens if t in self.index]
+        if not known:
+            return self.open(name, tokens)
+        k = len(self.names)
+        shared = np.bincount(np.concatenate(known), minlength=k)
+        del known  # an array can't grow while it is looked at
+        like = shared / (len(tokens) + self.sizes[:k] - shared)
+        best = int(like.argmax())
+        if like[best] < self.threshold:
             return self.open(name, tokens)
         self._add(best, tokens)
         return self.names[best]
@@ -132,10 +148,10 @@ def lexical_clusters(rows: DataFrame, *, threshold: float = 0.28, block: int = B
     seen = labelled.groupBy("bucket", "label").agg(F.min(F.struct("ord", "id")).alias("seen"))
     held = labelled.select("bucket", "label", F.explode("tokens").alias("token")).distinct().groupBy("bucket", "label").agg(F.collect_set("token").alias("tokens"))
     sets = seen.join(held, ["bucket", "label"], "left").select("bucket", "label", "seen", F.coalesce("tokens", none).alias("tokens"))
-    ranked = _in_blocks(alone, block)
-    dealt = alone.join(ranked, ["bucket", "ord", "id"]).select("bucket", "block", F.lit(1).alias("phase"), "ord", "id", "tokens")
-    first = sets.join(ranked.select("bucket", "block").distinct(), "bucket").select("bucket", "block", F.lit(0).alias("phase"), F.col("seen.ord").alias("ord"), F.col("seen.id").alias("by"), F.col("label").alias("id"), "tokens")
-    both = first.unionByName(dealt.withColumn("by", F.col("id"))).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "phase", "ord", "by")
+    ranked, parts = _in_blocks(alone, block)
+    dealt = alone.join(ranked, ["bucket", "ord", "id"]).select("part", "bucket", "block", F.lit(1).alias("phase"), "ord", "id", "tokens")
+    first = sets.join(ranked.select("bucket", "block", "part").distinct(), "bucket").select("part", "bucket", "block", F.lit(0).alias("phase"), F.col("seen.ord").alias("ord"), F.col("seen.id").alias("by"), F.col("label").alias("id"), "tokens")
+    both = first.unionByName(dealt.withColumn("by", F.col("id"))).repartitionById(parts, F.col("part")).sortWithinPartitions("bucket", "block", "phase", "ord", "by")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, clusters = None, None
