@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
 from tracelake.operators import attribute, detect, evaluate, recover, scrub, windows
+from tracelake.plans import catalog
 from tracelake.sources import exports, ingest
 
 RUN = "trace_id string, event_id string, pos int, agent_name string, event_type string, payload string, error string, success boolean, duration_ms double"
@@ -115,3 +116,15 @@ def test_lines_keep_malformed_records(spark):
 def test_latest_write_wins(spark):
     t = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, v int, w string")
     assert sorted((r.k, r.w) for r in ingest.latest(t, "k", "v").collect()) == [("a", "y"), ("b", "z")]
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_verifiers_read_the_findings_once(spark, sf):
+    rows = [("t", "e1", "system.environment_error"), ("t", "e1", "system.llm_limit"), ("t", "e1", "planning.inefficient_plan"), ("t", "e2", "action.format_error"), ("t", "e3", "style.article"), ("u", "e1", None)]
+    found = spark.createDataFrame(rows, "trace_id string, event_id string, mode_id string")
+    want = [("t", "e1", "plan_progress_guard"), ("t", "e1", "tool_retry_guard"), ("t", "e2", "json_schema_guard")]
+    assert sorted(map(tuple, recover.verifiers(found).collect())) == want
+    assert _scans(catalog.QUERIES["recover_verifiers"](spark, sf)) == 1
