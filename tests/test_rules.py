@@ -128,3 +128,11 @@ def test_verifiers_read_the_findings_once(spark, sf):
     want = [("t", "e1", "plan_progress_guard"), ("t", "e1", "tool_retry_guard"), ("t", "e2", "json_schema_guard")]
     assert sorted(map(tuple, recover.verifiers(found).collect())) == want
     assert _scans(catalog.QUERIES["recover_verifiers"](spark, sf)) == 1
+
+
+def test_advice_has_each_finding_served_by_its_own_mode(spark, sf):
+    rows = [("t", "e1", "f1", "system.llm_limit"), ("t", "e1", "f2", "planning.inefficient_plan"), ("t", "e2", "f3", "style.article")]
+    found = spark.createDataFrame(rows, "trace_id string, event_id string, finding_id string, mode_id string")
+    got = recover.served(found).select("finding_id", "verifier").collect()
+    assert sorted(map(tuple, got)) == [("f1", "tool_retry_guard"), ("f2", "plan_progress_guard")]
+    assert _scans(catalog.QUERIES["advice_verifiers"](spark, sf)) == 1

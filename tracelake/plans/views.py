@@ -101,5 +101,5 @@ query("advice_root_summary", W + "SELECT trace_id, arg_min(event_id, pos) AS eve
     lambda s, d: advice.root_summary(rich(s, d).groupBy("trace_id").agg(F.min_by("event_id", "pos").alias("root_event"), F.min("step_index").alias("root_step"), F.max("step_index").alias("first_step"), F.max("event_id").alias("first_event")))
 )
 query("advice_verifiers", WF + f"SELECT finding_id, v.n AS verifier, concat('Add ', v.n, ' before ', mode_id, ' (step ', {_N}, ', agent ', agent_name, ')') AS summary, least(0.85, greatest(0.3, coalesce(confidence, 0)))::DOUBLE AS confidence FROM fnd JOIN (VALUES ('json_schema_guard', 'action'), ('tool_retry_guard', 'system'), ('plan_progress_guard', 'planning')) v(n, f) ON split_part(mode_id, '.', 1) = f")(
-    lambda s, d: (lambda f: advice.verifier_advice(f.join(recover.verifiers(f), ["trace_id", "event_id"])))(findings(rich(s, d)))
+    lambda s, d: advice.verifier_advice(recover.served(findings(rich(s, d))))
 )
